@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rankloom.llm import canonical, topn
+from rankloom.llm import canonical, chosen_path, topn
 
-_MODULES = (topn, canonical)
+_MODULES = (topn, canonical, chosen_path)
 
 
 def queries() -> dict:
