@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rankloom.llm import canonical, chosen_path, overlap, topn
+from rankloom.llm import bpe, canonical, chosen_path, overlap, topn
 
-_MODULES = (topn, canonical, chosen_path, overlap)
+_MODULES = (topn, canonical, chosen_path, overlap, bpe)
 
 
 def queries() -> dict:
