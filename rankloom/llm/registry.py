@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rankloom.llm import bpe, canonical, chosen_path, overlap, topn
+from rankloom.llm import bpe, canonical, chosen_path, overlap, stuffing, topn
 
-_MODULES = (topn, canonical, chosen_path, overlap, bpe)
+_MODULES = (topn, canonical, chosen_path, overlap, bpe, stuffing)
 
 
 def queries() -> dict:
