@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rankloom.llm import bpe, canonical, chosen_path, overlap, stuffing, topn, truncation
+from rankloom.llm import bpe, canonical, chosen_path, mixing, overlap, qdigest, stuffing, topn, truncation
 
-_MODULES = (topn, canonical, chosen_path, overlap, bpe, stuffing, truncation)
+_MODULES = (topn, canonical, chosen_path, overlap, bpe, stuffing, truncation, mixing, qdigest)
 
 
 def queries() -> dict:
