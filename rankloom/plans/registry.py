@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-_MODULES: tuple = ()
+from rankloom.plans import ranking_queries
+
+_MODULES = (ranking_queries,)
 
 
 def queries() -> dict:
