@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def padded_length(length, multiple: int):
@@ -34,7 +35,7 @@ def packed(df: DataFrame, length: str, key: str, budget: int, multiple: int = 8,
     order = [F.desc(length), F.asc(key)]
     d = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
     d = d.sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    schema = d.schema.add("batch", "bigint")
+    schema = StructType([*d.schema.fields, StructField("batch", LongType())])
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         left, limit, current = 0, 0, -1  # rows the open batch may still take

@@ -11,6 +11,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from rankloom.functions import arrays as A
 
@@ -94,12 +95,11 @@ def scorer(name: str) -> Callable:
 
 def score_with_model(df: DataFrame, model: Callable[[pd.DataFrame], pd.Series], score: str = "score", setup: Callable | None = None) -> DataFrame:
     """``df`` with ``score`` from an opaque model, called once per Arrow batch; ``setup`` makes the model in each worker."""
-    schema = df.schema.add(score, "double") if score not in df.columns else df.schema
+    schema = StructType([*[f for f in df.schema.fields if f.name != score], StructField(score, DoubleType())])
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         run = setup() if setup else model
         for b in batches:
-            b[score] = run(b)
-            yield b
+            yield b.drop(columns=score, errors="ignore").assign(**{score: run(b)})
 
     return df.mapInPandas(work, schema)
