@@ -50,7 +50,7 @@ def shards(spark: SparkSession, path: str) -> DataFrame:
 
 def trial_results(spark: SparkSession, folder: str) -> DataFrame:
     """The trial files of a run (``trial_*.parquet``); its result table ``results.parquet`` is left out."""
-    return spark.read.option("pathGlobFilter", "trial*.parquet").parquet(folder)
+    return spark.read.parquet(f"{folder}/trial*.parquet")
 
 
 def flags(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
