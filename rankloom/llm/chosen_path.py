@@ -8,7 +8,8 @@ larger ones branch again; the few that are still large at the last level hold te
 compared block by block. Independent trees are repeated to raise recall. Candidates are then checked exactly.
 
 Copies (equal sets) are represented by their smallest id throughout, so a text that holds a third of all rows costs as
-much as any other. Each level costs one aggregation and one join, both over integers only.
+much as any other. Each level costs one aggregation and one join, both over integers only; the largest nodes are joined
+where their rows lie.
 """
 
 from __future__ import annotations
@@ -72,7 +73,7 @@ def _counted(rows: DataFrame, cross: bool) -> DataFrame:
     """The rows of nodes that can hold a pair, with the node's number of texts."""
     n = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("side").alias("lo"), F.max("side").alias("hi"))
     n = n.filter((F.col("n") > 1) & ((F.col("lo") < F.col("hi")) if cross else F.lit(True))).select("node", "n")
-    return rows.join(n, "node")
+    return hot_split_join(rows, materialize(n, "nodes"), "node", "n")
 
 
 def _compare(leaf: DataFrame, reps: DataFrame, threshold: float, cross: bool, block: bool) -> DataFrame:
@@ -141,8 +142,9 @@ def distinct_sets(texts: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     groups = materialize(groups.select(F.concat("h", F.unhex(F.hex("side"))).alias("k"), "rep", "copies"), "copies")
     copies = hot_split_join(all_.select(F.concat("h", F.unhex(F.hex("side"))).alias("k"), "id"), groups, "k", "copies")
     copies = materialize(copies.filter("id <> rep").select("id", "rep"), "members")
-    reps = all_.join(sized(copies.select("id")), "id", "left_anti")
-    return reps, copies
+    few = copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    reps = all_.join(F.broadcast(copies.select("id")) if few else copies.select("id"), "id", "left_anti")
+    return reps if few else materialize(reps, "representatives"), copies
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, k: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:

@@ -92,7 +92,7 @@ def mixed(docs: DataFrame, targets: DataFrame, seed: int = 1) -> tuple[DataFrame
     without target and without tokens aren't used. Rows with equal ids are documents of their own.
     """
     spark = docs.sparkSession
-    used = docs.filter("source is not null and n_tokens > 0")
+    used = docs.select("id", "source", "n_tokens").filter("source is not null and n_tokens > 0")
     rows, slots, block = plan(targets, used.groupBy("source").agg(F.sum("n_tokens").alias("tokens")))
     usable = [r for r in rows if r["reach"] > 0]
     kind = dict(docs.dtypes)["id"]

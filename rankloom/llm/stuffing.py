@@ -27,12 +27,14 @@ from rankloom.session import materialize
 #: Share of a page's words that must be stuffing. Sentences without end marks, titles and names leave some words
 #: uncounted on either side, so this lies in the middle of the range between the kinds of page.
 SHARE = 0.5
+#: Share of a page's words that must be stuffing outside of sentences before words in sentences count at all.
+LEAST_SHARE = 0.25
 #: A page stutters if its share of different runs of three words is below this part of its language's median.
 STUTTER = 0.7
 #: Runs among which that share is taken, so that it doesn't fall with the length of the page.
 WINDOW = 120
-#: Languages with a norm of their own: the ones with most pages, if they have at least LEAST_PAGES.
-LANGUAGES, LEAST_PAGES = 1000, 20
+#: Pages that a language must have for a norm of its own.
+LEAST_PAGES = 20
 #: Pages with fewer words are no lists.
 LEAST_WORDS = 12
 #: Short items in a row that make a list.
@@ -182,25 +184,28 @@ def norms(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     usual = [F.percentile_approx("fresh", 0.5, 1000).alias("fresh_norm"), F.percentile_approx(F.try_divide("function", "prose"), 0.1, 1000).alias("function_norm")]
     d = pages.filter(F.col("words") >= LEAST_WORDS)
     per = d.groupBy("lang").agg(F.count(F.lit(1)).alias("pages"), *usual).filter(F.col("pages") >= LEAST_PAGES)
-    return per.orderBy(F.desc("pages"), "lang").limit(LANGUAGES), d.agg(*[u.alias(f"any_{n}") for u, n in zip(usual, ("fresh", "function"))])
+    return per.drop("pages"), d.agg(*[u.alias(f"any_{n}") for u, n in zip(usual, ("fresh", "function"))])
 
 
 def stuffed_pages(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     """``key, share, stutters`` of the pages whose share of stuffing reaches SHARE.
 
-    Words repeated within sentences count too on pages that stutter beyond what is usual in their language, or whose
-    sentences have less than half of the function words that nearly all pages of the language have.
+    Words repeated within sentences count too on pages with LEAST_SHARE of stuffing outside of them that stutter beyond
+    what is usual in their language, or whose sentences have less than half of the function words that nearly all pages
+    of the language have.
 
     Null, empty and short pages (fewer than LEAST_WORDS words) are none; every row of a page delivered again counts; a
     null or unknown language is judged by the norm over all. An empty table gives no rows. Other columns aren't read.
     """
     pages = materialize(measured(df, key, text, lang), "pages")
     per, over_all = norms(pages)
-    d = pages.join(F.broadcast(per.drop("pages")), "lang", "left").crossJoin(F.broadcast(over_all))
+    # one row per language: broadcast if it turns out small, else a join whose large partitions adaptive execution splits
+    d = pages.join(per, "lang", "left").crossJoin(F.broadcast(over_all))
     fresh, function = F.coalesce("fresh_norm", "any_fresh"), F.coalesce("function_norm", "any_function")
     stutters = F.col("fresh") < STUTTER * fresh
     bare = F.coalesce(F.col("function") < 0.5 * function * F.col("prose"), F.lit(False))
-    stuffing = F.col("links") + F.col("items") + F.col("loose") + F.when(stutters | bare, F.col("repeated")).otherwise(0)
+    outside = F.col("links") + F.col("items") + F.col("loose")
+    stuffing = outside + F.when((stutters | bare) & (outside >= LEAST_SHARE * F.col("words")), F.col("repeated")).otherwise(0)
     out = d.withColumn("share", F.try_divide(stuffing, F.col("words"))).withColumn("stutters", stutters)
     out = out.filter((F.col("words") >= LEAST_WORDS) & (F.col("share") >= SHARE))
     return out.select(F.col("key").alias(key), "share", "stutters")

@@ -141,18 +141,13 @@ def spikes(rows: DataFrame) -> DataFrame:
     return hist.filter(found).select("source", "measure", "length", "n", "open", "usual")
 
 
-#: Spikes kept, the largest first; their table is broadcast. A source has as many as it has limits.
-MAX_SPIKES = 100_000
-
-
 def cut_rows(rows: DataFrame) -> DataFrame:
     """The rows of ``ends`` (written) with ``limit`` (the spike's measure, if any) and ``cut``."""
-    s = spikes(rows).orderBy(F.desc("n"), "source", "measure", "length").limit(MAX_SPIKES)
-    by = s.groupBy("source").agg(*[F.collect_set(F.when(F.col("measure") == m, F.col("length"))).alias(f"at_{m}") for m in ("chars", "bytes", "tokens")])
+    by = spikes(rows).groupBy("source").agg(*[F.collect_set(F.when(F.col("measure") == m, F.col("length"))).alias(f"at_{m}") for m in ("chars", "bytes", "tokens")])
     ratio = F.try_divide("bytes", "tokens")
     few = rows.groupBy("source").agg(F.percentile_approx(ratio, 0.25, 1000).alias("usual_bytes"))
-    few = few.join(by, "source", "left").orderBy("source").limit(MAX_SPIKES)
-    d = rows.join(F.broadcast(few), "source", "left")
+    # one row per source: broadcast if it turns out small, else a join whose large partitions adaptive execution splits
+    d = rows.join(few.join(by, "source", "left"), "source", "left")
     has = lambda m, c: F.coalesce(F.array_contains(f"at_{m}", c), F.lit(False))
     at_bytes = has("bytes", F.col("bytes"))
     for i in range(1, SLACK + 1):  # a character lost at the limit, only in texts that have some of several bytes or marks of it
