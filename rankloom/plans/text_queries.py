@@ -16,8 +16,8 @@ from rankloom.operators import scoring as SC
 from rankloom.operators.aggregates import import_counts as count_imports
 from rankloom.operators.aggregates import throughput
 from rankloom.plans.config import SUITES
-from rankloom.plans.fixtures import TRIALS, scored, trials
-from rankloom.plans.ranking_queries import rounded
+from rankloom.plans.fixtures import RANKED, TRIALS, scored, trials
+from rankloom.plans.ranking_queries import _metrics, rounded
 from rankloom.plans.relational_queries import solutions
 from rankloom.plans.suite import run_suite, suite_report
 from rankloom.session import table
@@ -264,6 +264,13 @@ greatest(coalesce(len(outcomes), 0), 1)::int base, greatest(coalesce(len(plus_ou
     "binary_scores": f"""with {_E}, s as (select vec_id, (e[1] + e[2] + e[4]) / 3 a, (e[5] + e[6] + e[8]) / 3 b, label > 4 ok from e)
 select vec_id, round(a, 6) score, round(b, 6) failed_score, a > b pred, round(ln(exp(a) + exp(b)) - case when ok then a else b end, 6) point_loss, round(case when ok then b - a else a - b end, 6) pair_loss, round(ln(1 + exp(b - a)), 6) rank_loss from s""",
     "mean_logprob": f"with {_E} select vec_id, round(list_avg(e[11:]), 6) score from e",
+    "batch_pack": f"""with recursive {_S}, o as (select solution_key, num_tokens::bigint n, row_number() over (order by num_tokens desc, solution_key) - 1 rn from s where num_tokens is not null),
+b as (select 0::bigint batch, 0::bigint a union all select b.batch + 1, b.a + greatest(1, 4096 // (n + 8 - n % 8)) from b join o on o.rn = b.a)
+select solution_key, batch from o asof join b on o.rn >= b.a""",
     "batch_estimate": f"with {_S} select ceil(sum(num_tokens) / 4096)::bigint batches from s",
+    "suite_zero_shot": f"""with {RANKED}, m as ({_metrics('passed', (4, 16, 64))}), c as (select task_id, eff, sum(w) c, count(*) u from iv group by 1, 2),
+a as (select split_part(task_id, '/', 1) dataset, count(*)::double problems, 100 * avg(rs) rs, 100 * avg(mrr) mrr, 100 * avg(top1) top1, 100 * avg(b_of_4) b_of_4, 100 * avg(b_of_16) b_of_16, 100 * avg(b_of_64) b_of_64 from m group by 1),
+b as (select split_part(task_id, '/', 1) dataset, (count(*) filter (c > 1))::double num_collisions, sum(u)::double unique_preds, 100 * (count(*) filter (c > 1)) / sum(u)::double pct_collisions, 0::double pruned from c group by 1),
+w as (select * from a join b using (dataset)) select dataset, metric, round(v, 6) "value" from (unpivot w on columns(* exclude (dataset)) into name metric value v)""",
     "suite_throughput": "with p as (select dataset, avg(time) filtering, count(*) total_programs from filter_timings_summary where dataset is not null and not isnan(time) group by 1) select dataset, round(filtering, 5) filtering, total_programs, round(2 * filtering, 5) scoring_function, round(total_programs / filtering, 5) filtering_pps, round(total_programs / (2 * filtering), 5) scoring_function_pps, round(total_programs / (3 * filtering), 5) filter_and_score_pps from p",
 }
