@@ -36,7 +36,8 @@ DONE, CLOSED, WEAK, OPEN = -1, 0, 1, 2
 
 FENCE = re.compile(r"\r?\n[ \t]*```[ \t]*\s*$")
 MARK = re.compile(r"(?:\s*(?:\.\.\.|…|\[(?:\.\.\.|…|truncated|cut|snip)\]|<(?:truncated|cut)>|\(truncated\)))\s*$", re.I)
-CODE = re.compile(r"^[ \t]*(?:def \w+|class \w+|import \w|from \w[\w.]* import\b|return\b|print\(|for \w.* in |while |if .*:)", re.M)
+#: Lines that only programs have; a sentence may begin with "return" or "for" too.
+CODE = re.compile(r"^[ \t]*(?:def \w+\s*\(|class \w+[(:]|import \w[\w., ]*$|from \w[\w.]* import\b|print\(|(?:for \w.* in|while|if) .*:\s*$)|^[ \t]+return\b", re.M)
 FINAL = re.compile(r"(?:####|\banswer\b\D{0,12}|\btotal\b\D{0,12}|\bresult\b\D{0,12}|[=:])[ \t]*\$?-?\d[\d,.]*%?$", re.I)
 IDENT = re.compile(r"[^\W\d]\w*")
 STRING = re.compile(r"'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"")
