@@ -121,7 +121,7 @@ def _discount(lo: Column, hi: Column) -> Column:
     return F.when(hi > lo, F.aggregate(F.sequence(lo, hi - 1), F.lit(0.0), lambda a, i: a + 1.0 / F.log2(i + 2.0))).otherwise(0.0)
 
 
-def ndcg(ranked: DataFrame, keys: Sequence[str], gain: str = "num_tests_passed", k: int | None = None) -> DataFrame:
+def ndcg(ranked: DataFrame, keys: Sequence[str], gain: str = "num_tests_passed", k: int | None = None, sid: str = "sid") -> DataFrame:
     """Per problem ``ndcg`` in percent: linear gains, equal scores share their mean gain, the ideal order ignores ties.
 
     Null gains are 0; a problem without gain has 0. ``k`` cuts both sums after k ranks.
@@ -132,11 +132,15 @@ def ndcg(ranked: DataFrame, keys: Sequence[str], gain: str = "num_tests_passed",
     d = d.withColumn("d", _discount(cap(F.col("lo")), cap(F.col("hi"))))
     ties = d.groupBy(*keys, "eff").agg(F.try_divide(F.sum(F.col("g") * F.col("w")), F.sum("w")).alias("mean"), F.sum("d").alias("d"))
     dcg = ties.groupBy(*keys).agg(F.sum(F.col("mean") * F.col("d")).alias("dcg"))
-    # the ideal order has few different gains: they are summed first, so its window is short
-    gains = d.groupBy(*keys, "g").agg(F.sum("w").alias("gw"))
-    run = Window.partitionBy(*keys).orderBy(F.desc("g")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    gains = gains.withColumn("ghi", F.sum("gw").over(run))
-    ideal = gains.withColumn("d", _discount(cap(F.col("ghi") - F.col("gw")), cap(F.col("ghi"))))
+    # the ideal order: parts of equal gain, split by hash, as their order among each other doesn't matter
+    e = d.withColumn("__sub", F.pmod(F.xxhash64(sid), F.lit(64)).cast("int"))
+    sizes = e.groupBy(*keys, "g", "__sub").agg(F.sum("w").alias("__pw"))
+    before = Window.partitionBy(*keys).orderBy(F.desc("g"), "__sub").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*keys, "g", "__sub", F.coalesce(F.sum("__pw").over(before), F.lit(0).cast("bigint")).alias("__before"))
+    inside = Window.partitionBy(*keys, "g", "__sub").orderBy(sid).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    e = e.withColumn("__run", F.sum("w").over(inside)).join(sizes, [*keys, "g", "__sub"])
+    hi = F.col("__before") + F.col("__run")
+    ideal = e.withColumn("d", _discount(cap(hi - F.col("w")), cap(hi)))
     ideal = ideal.groupBy(*keys).agg(F.sum(F.col("g") * F.col("d")).alias("idcg"))
     return dcg.join(ideal, keys).select(*keys, F.when(F.col("idcg") > 0, 100 * F.col("dcg") / F.col("idcg")).otherwise(0.0).alias("ndcg"))
 
