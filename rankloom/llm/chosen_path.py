@@ -28,8 +28,8 @@ from rankloom.session import materialize
 SMALL_NODE = 96
 #: Levels of a tree; what is still large below is compared in blocks of SMALL_NODE texts.
 LEVELS = 8
-#: Tables of ids up to this many rows are broadcast (8 MB); longer ones go through a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Tables of ids up to this many rows are broadcast (2.4 MB); longer ones go through a shuffle.
+BROADCAST_IDS = 300_000
 
 SK = [f"s{i}" for i in range(SKETCH)]
 
