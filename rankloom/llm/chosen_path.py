@@ -194,5 +194,17 @@ def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes}
 
-#: Brute force over word runs; only for small tables, as its join on shared runs is quadratic in frequent ones.
-SQL: dict[str, str] = {}
+#: Brute force over word runs: the sets of runs of three words (``sh``) and their sizes (``sz``) of a table ``t(k, x)``.
+RUNS = """w as (select k, regexp_extract_all(lower(x), '[\\p{L}\\p{N}]+') w from t where x is not null),
+l as (select k, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) l from w where len(w) >= 3),
+sz as (select k, len(l) n from l), sh as (select k, unnest(l) s from l)"""
+LINKS = f"""t as (select solution_key k, solution x from solutions), {RUNS},
+c as (select a.k key_a, b.k key_b, count(*) c from sh a join sh b on a.s = b.s and a.k < b.k group by 1, 2),
+links as (select key_a, key_b, c / (x.n + y.n - c)::double likeness from c join sz x on x.k = key_a join sz y on y.k = key_b where c / (x.n + y.n - c)::double >= 0.6)"""
+
+SQL: dict[str, str] = {
+    "p2_found": f"with {LINKS} select key_a, key_b from links",
+    "p2_classes": f"""with {LINKS}, cls as (select k, min(k) over (partition by list_sort(l)) class_id from l),
+deg as (select x.class_id, count(distinct y.class_id) links from (select key_a a, key_b b from links union all select key_b, key_a from links) e join cls x on x.k = e.a join cls y on y.k = e.b where x.class_id <> y.class_id group by 1)
+select k solution_key, class_id, coalesce(links, 0) links from cls left join deg using (class_id) where links is not null or class_id in (select class_id from cls group by 1 having count(*) > 1)""",
+}

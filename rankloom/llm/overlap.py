@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.chosen_path import candidates, sized, verified
+from rankloom.llm.chosen_path import RUNS, candidates, sized, verified
 from rankloom.llm.minwise import signed
 from rankloom.operators.skew import hot_split_join
 from rankloom.session import materialize
@@ -99,4 +99,14 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_report": p4_report}
-SQL: dict[str, str] = {}
+_PAIRS = f"""t as (select problem_key k, description x from problems where split in ('train', 'validation', 'test')), {RUNS},
+side as (select problem_key k, split = 'train' train from problems),
+c as (select a.k e, b.k r, count(*) c from sh a join side sa on sa.k = a.k and not sa.train join sh b on a.s = b.s join side sb on sb.k = b.k and sb.train group by 1, 2),
+m as (select e, r, c / (x.n + y.n - c)::double likeness from c join sz x on x.k = e join sz y on y.k = r where c / (x.n + y.n - c)::double >= 0.6)"""
+
+SQL: dict[str, str] = {
+    "p4_found": f"with {_PAIRS} select least(e, r) key_a, greatest(e, r) key_b from m",
+    "p4_report": f"""with {_PAIRS}, per as (select e, max(likeness) best, count(*) pairs from m group by 1)
+select split, source, count(*) records, count(best) in_train, count(*) filter (best = 1) in_train_equal, count(*) filter (best < 1) in_train_near, coalesce(sum(pairs), 0)::bigint pairs
+from problems left join per on e = problem_key where split in ('validation', 'test') group by 1, 2""",
+}
