@@ -3,6 +3,7 @@ a side only after it has measured it."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -47,10 +48,19 @@ def config_grid(measured: DataFrame, dims: Sequence[str]) -> DataFrame:
     return measured.filter(known).select(*dims).distinct()
 
 
+#: Most cells of a grid of settings.
+MOST_CELLS = 1_000_000
+
+
 def missing_cells(measured: DataFrame, dims: Sequence[str]) -> DataFrame:
-    """The cells of the grid that don't exist. The dimensions are settings with few values; the product has their sizes' product."""
-    grid = reduce(lambda a, b: a.crossJoin(b), [measured.select(c).filter(F.col(c).isNotNull()).distinct() for c in dims])
-    return grid.join(measured.select(*dims).distinct(), list(dims), "left_anti")
+    """The cells of the grid that don't exist. The dimensions are settings; a grid of more than MOST_CELLS is an error."""
+    sizes = measured.agg(*[F.count_distinct(c).alias(c) for c in dims]).first()
+    if math.prod(sizes) > MOST_CELLS:
+        raise ValueError(f"a grid of {math.prod(sizes)} cells")
+    values = measured.agg(*[F.collect_set(c).alias(c) for c in dims])
+    for c in dims:
+        values = values.withColumn(c, F.explode(c))
+    return values.join(measured.select(*dims).distinct(), list(dims), "left_anti")
 
 
 def repeated_prompts(prompts: DataFrame, times: int) -> DataFrame:

@@ -42,7 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (local runs)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
         path = os.path.join(tempfile.gettempdir(), f"rankloom-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", path)
