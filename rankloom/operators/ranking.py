@@ -33,8 +33,9 @@ def _part(score: Column, sid: Column) -> tuple[Column, Column]:
     return -signed, F.when(score == NEG_INF, F.shiftright(F.coalesce(sid.cast("bigint"), F.lit(-1)), SID_BITS)).otherwise(0)
 
 
-def rank_intervals(df: DataFrame, keys: Sequence[str], score: str = "score", sid: str = "sid", count: str | None = "count") -> DataFrame:
-    """Adds ``eff`` (the effective score), ``w`` (the weight), ``lo`` and ``hi``.
+def rank_intervals(df: DataFrame, keys: Sequence[str], score: str = "score", sid: str = "sid", count: str | None = "count", flags: Sequence[str] = ()) -> DataFrame:
+    """Adds ``eff`` (the effective score), ``w`` (the weight), ``lo`` and ``hi``, the problem's weight ``n_all``, and for each of
+    ``flags`` the weight of the problem's candidates that have it (``n_<flag>``).
 
     Order: score descending, equal scores by sid ascending. A problem isn't ordered in one task: its candidates are cut
     into parts by score; the parts' weights are summed first, and only each part is sorted. A null or non-positive
@@ -45,9 +46,11 @@ def rank_intervals(df: DataFrame, keys: Sequence[str], score: str = "score", sid
     d = df.withColumn("eff", effective_score(F.col(score))).withColumn("w", w)
     p1, p2 = _part(F.col("eff"), F.col(sid))
     d = d.withColumn("__p1", p1).withColumn("__p2", p2)
-    parts = d.groupBy(*keys, "__p1", "__p2").agg(F.sum("w").alias("__pw"))
+    parts = d.groupBy(*keys, "__p1", "__p2").agg(F.sum("w").alias("__pw"), *[F.sum(F.when(F.col(f), F.col("w")).otherwise(0)).alias(f"__w_{f}") for f in flags])
     before = Window.partitionBy(*keys).orderBy("__p1", "__p2").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("__before", F.coalesce(F.sum("__pw").over(before), F.lit(0).cast("bigint"))).drop("__pw")
+    whole = Window.partitionBy(*keys).orderBy("__p1", "__p2").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    totals = [F.sum("__pw").over(whole).alias("n_all"), *[F.sum(f"__w_{f}").over(whole).alias(f"n_{f}") for f in flags]]
+    parts = parts.select(*keys, "__p1", "__p2", F.coalesce(F.sum("__pw").over(before), F.lit(0).cast("bigint")).alias("__before"), *totals)
     inside = Window.partitionBy(*keys, "__p1", "__p2").orderBy(F.desc("eff"), F.asc(sid)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.withColumn("__run", F.sum("w").over(inside)).join(parts, [*keys, "__p1", "__p2"])
     hi = F.col("__before") + F.col("__run")
@@ -82,13 +85,17 @@ def problem_metrics(ranked: DataFrame, keys: Sequence[str], passed: str = "passe
     """Per problem: ``n, r, unique_preds, rs, mrr, top1`` and ``b_of_k`` for each k.
 
     ``rs`` is the share of passing candidates among the first R ranks, R the weight of passing ones; with ``strict`` it is
-    0 for R = 1, as in the published figures. A null outcome counts as not passed.
+    0 for R = 1, as in the published figures. A null outcome counts as not passed. Where ``ranked`` was made with ``passed``
+    among its flags, nothing is joined.
     """
     keys = list(keys)
     p = F.coalesce(F.col(passed), F.lit(False))
-    total = ranked.groupBy(*keys).agg(F.sum("w").alias("__n"), F.sum(F.when(p, F.col("w")).otherwise(0)).alias("__r"))
-    d = ranked.join(total, keys)
-    n, r, lo, hi = F.col("__n"), F.col("__r"), F.col("lo"), F.col("hi")
+    if f"n_{passed}" in ranked.columns:
+        d, n, r = ranked, F.col("n_all"), F.col(f"n_{passed}")
+    else:
+        d = ranked.join(ranked.groupBy(*keys).agg(F.sum(F.when(p, F.col("w")).otherwise(0)).alias("__r")), keys)
+        n, r = F.col("n_all"), F.col("__r")
+    lo, hi = F.col("lo"), F.col("hi")
     inside = F.when(p, F.greatest(F.least(hi, r) - lo, F.lit(0))).otherwise(0)
     agg = [
         F.first(n).alias("n"),

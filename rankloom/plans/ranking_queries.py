@@ -17,28 +17,28 @@ def rounded(df: DataFrame, digits: int = 6, nudge: float = 0.0) -> DataFrame:
     return df.select(*[F.round(F.col(c) + nudge, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.rank_intervals(scored(spark, sf_dir), T)
+def ranked(spark: SparkSession, sf_dir: str, *flags: str) -> DataFrame:
+    return R.rank_intervals(scored(spark, sf_dir), T, flags=flags)
 
 
 def rank_metrics(spark, sf_dir):
-    per = R.problem_metrics(ranked(spark, sf_dir), T, ks=(4,))
+    per = R.problem_metrics(ranked(spark, sf_dir, "passed"), T, ks=(4,))
     return rounded(R.macro_average(per, ["rs", "mrr", "top1", "b_of_4"]))
 
 
 def rank_metrics_by_problem(spark, sf_dir):
-    per = R.problem_metrics(ranked(spark, sf_dir), T, ks=(4, 16))
+    per = R.problem_metrics(ranked(spark, sf_dir, "passed"), T, ks=(4, 16))
     return rounded(per.select("task_id", "n", "r", "unique_preds", "rs", "mrr", "top1", "b_of_4", "b_of_16"))
 
 
 def rank_metrics_unweighted(spark, sf_dir):
-    d = R.rank_intervals(scored(spark, sf_dir), T, count=None)
+    d = R.rank_intervals(scored(spark, sf_dir), T, count=None, flags=["passed"])
     return rounded(R.macro_average(R.problem_metrics(d, T, ks=(2,), strict=False), ["rs", "mrr", "top1", "b_of_2"]))
 
 
 def rank_categories(spark, sf_dir):
     """Outcome categories: all ks for ``all``, only the largest for the others."""
-    d = ranked(spark, sf_dir)
+    d = ranked(spark, sf_dir, "passed", "passed_public", "passed_plus")
     per = {"all": R.problem_metrics(d, T, "passed", (4, 16)), "public": R.problem_metrics(d, T, "passed_public", (16,)), "plus": R.problem_metrics(d, T, "passed_plus", (16,))}
     long = R.fan_out(["rs", "mrr", "top1", "b_of_4", "b_of_16"], per, T)
     return rounded(long.groupBy("category", "metric").agg(F.avg("value").alias("value")))

@@ -76,7 +76,7 @@ def staged_filter_pruned(spark, sf_dir):
 
 def filter_then_rank(spark, sf_dir):
     d = FI.prune_scores(_filtered(spark, sf_dir)).withColumn("sid", F.col("sid").cast("int"))
-    per = R.problem_metrics(R.rank_intervals(d, ["task_id"]), ["task_id"], ks=(4,))
+    per = R.problem_metrics(R.rank_intervals(d, ["task_id"], flags=["passed"]), ["task_id"], ks=(4,))
     return rounded(R.macro_average(per, ["rs", "mrr", "top1", "b_of_4"]))
 
 

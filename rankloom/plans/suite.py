@@ -51,7 +51,7 @@ def run_suite(candidates: DataFrame, flags: DataFrame | None, suite: EvalSuite,
 def suite_report(scored: DataFrame, suite: EvalSuite, by: tuple[str, ...] = ("dataset",)) -> DataFrame:
     """Long report ``dataset, metric, value``: macro averages per dataset, collisions, candidates and pruned ones."""
     keys = [*by, "task_id"]
-    ranked = R.rank_intervals(scored, keys)
+    ranked = R.rank_intervals(scored, keys, flags=["passed"])
     per = R.problem_metrics(ranked, keys, ks=suite.ks)
     names = ["rs", "mrr", "top1", *[f"b_of_{k}" for k in suite.ks]]
     macro = R.macro_average(per, names, by)

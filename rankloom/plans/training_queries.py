@@ -39,7 +39,7 @@ def validation_rows(spark, sf_dir):
 def validation_ranking(spark, sf_dir):
     """Ranking by log-probability, at equal ones by index: R-precision, and best of 8, over all and over public outcomes."""
     d = solutions(spark, sf_dir).withColumn("score", F.col("logprob"))
-    r = R.rank_intervals(d, ["task_id"], sid="solution_key", count=None)
+    r = R.rank_intervals(d, ["task_id"], sid="solution_key", count=None, flags=["passed", "passed_public"])
     a = R.macro_average(R.problem_metrics(r, ["task_id"], "passed", (8,)), ["rs", "b_of_8"])
     b = R.macro_average(R.problem_metrics(r, ["task_id"], "passed_public", (8,)), ["rs", "b_of_8"]).toDF("public_problems", "public_rs", "public_b_of_8")
     return rounded(a.crossJoin(b))
