@@ -24,8 +24,10 @@ def canonical(text: Column) -> Column:
 def keyed(df: DataFrame, record_id: str, fields: list[Column], weight: Column) -> DataFrame:
     """``id, h, check, weight`` of each record: ``h`` has the 128 bits of the canonical fields, taken in the order given.
 
-    Records in which a field is null have no canonical form and take no part. The fields are separated by a character
-    that no canonical form holds. ``check`` is a second hash; records are copies only if both agree.
+    Records in which a field is null have no canonical form and take no part; an empty field, or one without letters and
+    digits, is a form like any other. The fields are separated by a character that no canonical form holds. ``check`` is a
+    second hash; records are copies only if both agree. Texts are hashed whole. Rows that repeat an id are copies of each
+    other and count, but make no pair of an id with itself. An empty table gives no rows; other columns aren't read.
     """
     forms = [canonical(f) for f in fields]
     d = df.select(F.col(record_id).alias("id"), F.concat(*[x for f in forms for x in (f, F.lit("|"))]).alias("form"), weight.alias("weight"))

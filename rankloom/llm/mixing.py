@@ -89,7 +89,9 @@ def mixed(docs: DataFrame, targets: DataFrame, seed: int = 1) -> tuple[DataFrame
     """The mix (``slot, id, source, use, n_tokens``; ``use`` counts from 1) and the plan it follows.
 
     ``docs``: ``id, source, n_tokens``, a written table; ``targets``: ``source, share, cap``. Documents without source,
-    without target and without tokens aren't used. Rows with equal ids are documents of their own.
+    without target and without tokens (null, 0 or fewer) aren't used. Rows with equal ids are documents of their own, a null
+    id is one too. A document longer than a block stays whole and takes the place of the slots it covers. Without documents
+    or targets the mix is empty. Other columns aren't read.
     """
     spark = docs.sparkSession
     used = docs.select("id", "source", "n_tokens").filter("source is not null and n_tokens > 0")

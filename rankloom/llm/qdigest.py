@@ -100,7 +100,8 @@ def _compressed(nodes: pd.Series) -> pd.Series:
 def leaf_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``keys, node, count`` of the values: at most 2**BITS rows a group, combined on the map side.
 
-    Null and NaN are no values. Null keys are keys.
+    Null and NaN are no values; a group of nothing else has no row. Infinities are the outermost values. Null keys are keys.
+    Repeated rows count each time. An empty table gives no rows; other columns aren't read.
     """
     d = df.select(*keys, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
     return d.groupBy(*keys, (leaf(F.col("__v")) + (1 << BITS)).alias("node")).agg(F.count(F.lit(1)).alias("count"))
