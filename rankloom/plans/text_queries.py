@@ -20,7 +20,7 @@ from rankloom.plans.fixtures import RANKED, TRIALS, scored, trials
 from rankloom.plans.ranking_queries import _metrics, rounded
 from rankloom.plans.relational_queries import solutions
 from rankloom.plans.suite import run_suite, suite_report
-from rankloom.session import table
+from rankloom.session import spread, table
 
 
 def fence_strip(spark, sf_dir):
@@ -174,22 +174,22 @@ def batch_estimate(spark, sf_dir):
 
 
 def syntax_validity(spark, sf_dir):
-    d = solutions(spark, sf_dir).filter("solution is not null")
+    d = spread(solutions(spark, sf_dir).filter("solution is not null").select("solution_key", "solution", "passed", "count"))
     return d.select("solution_key", C.valid_syntax(F.col("solution")).alias("valid"))
 
 
 def import_counts(spark, sf_dir):
-    d = solutions(spark, sf_dir).filter("solution is not null")
+    d = spread(solutions(spark, sf_dir).filter("solution is not null").select("solution_key", "solution", "passed", "count"))
     return count_imports(d, C.imports(F.col("solution")), F.coalesce("count", F.lit(1)), F.coalesce("passed", F.lit(False)))
 
 
 def docstrings(spark, sf_dir):
-    d = solutions(spark, sf_dir).filter("solution is not null")
+    d = spread(solutions(spark, sf_dir).filter("solution is not null").select("solution_key", "solution", "passed", "count"))
     return d.select("solution_key", C.docstring(F.col("solution")).alias("doc")).filter("doc is not null")
 
 
 def comment_free(spark, sf_dir):
-    d = solutions(spark, sf_dir).filter("solution is not null")
+    d = spread(solutions(spark, sf_dir).filter("solution is not null").select("solution_key", "solution", "passed", "count"))
     return d.select("solution_key", C.clean_code(F.col("solution")).alias("clean"))
 
 

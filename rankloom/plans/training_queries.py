@@ -10,7 +10,7 @@ from rankloom.plans import training as TR
 from rankloom.plans.config import DataConfig
 from rankloom.plans.ranking_queries import rounded
 from rankloom.plans.relational_queries import solutions
-from rankloom.session import table
+from rankloom.session import spread, table
 
 CFG = DataConfig(examples_per_problem=4)
 
@@ -59,12 +59,12 @@ def short_problems(spark, sf_dir):
 
 
 def syntax_trials(spark, sf_dir):
-    d = solutions(spark, sf_dir).select("task_id", F.col("solution_key").alias("sid"), "solution")
+    d = spread(solutions(spark, sf_dir).select("task_id", F.col("solution_key").alias("sid"), "solution"))
     return TR.syntax_trials(d, 2)
 
 
 def cleaned_programs(spark, sf_dir):
-    d = solutions(spark, sf_dir).filter("solution is not null").select("solution_key", "solution")
+    d = spread(solutions(spark, sf_dir).filter("solution is not null").select("solution_key", "solution"))
     return TR.cleaned_programs(d, "solution").select("solution_key", F.length("solution").alias("chars"))
 
 

@@ -79,3 +79,9 @@ def release(df: DataFrame) -> None:
     path = getattr(df, "_rankloom_path", None)
     if path:
         drop_path(df.sparkSession, path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than the cluster has cores, spread over them, for work that costs more than the move."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
