@@ -1,11 +1,13 @@
 """Problem 2: near-duplicate records with small edits.
 
 Method: chosen-path set similarity join. A text is the set of its word runs, with minwise tokens of it. A tree sends
-each text down paths: a node chooses, by its own hash and so alike for all its texts, one or two of the token places,
-and a text goes on to the child named by its token there. On average 1/threshold places are chosen, so that two texts
-at the threshold share one path per level on average. Nodes with few texts are compared exhaustively through a sketch;
-larger ones branch again; the few that are still large at the last level hold texts alike in nearly all tokens and are
-compared block by block. Independent trees are repeated to raise recall. Candidates are then checked exactly.
+each text down paths: a node chooses, by its own hash and so alike for all its texts, some of the token places that its
+path hasn't used, and a text goes on to the child named by its token there. Nodes of up to SMALL_NODE texts are compared
+exhaustively through a sketch; larger ones branch again. A root has 1/threshold children on average. Below, BRANCH times
+as many places are chosen: with 1/threshold of them a pair at the threshold would keep one shared path a level on
+average, and such a process dies out. The number of trees is the one that keeps such a pair down to the last level.
+A large node that holds more than half of its parent's texts isn't parted by branching, as its texts are alike; these,
+and what is still large at the last level, are compared block by block. Candidates are then checked exactly.
 
 Copies (equal sets) are represented by their smallest id throughout, so a text that holds a third of all rows costs as
 much as any other. Each level costs one aggregation and one join, both over integers only; the largest nodes are joined
@@ -25,9 +27,11 @@ from rankloom.operators.skew import hot_split_join
 from rankloom.session import materialize
 
 #: Nodes of at most so many texts are compared exhaustively.
-SMALL_NODE = 96
+SMALL_NODE = 2048
 #: Levels of a tree; what is still large below is compared in blocks of SMALL_NODE texts.
 LEVELS = 8
+#: Places that a large node chooses, in parts of 1/threshold: the shared children of a pair at the threshold, on average.
+BRANCH = 2.5
 #: Tables of ids up to this many rows are broadcast (2.4 MB); longer ones go through a shuffle.
 BROADCAST_IDS = 300_000
 
@@ -39,9 +43,33 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
 
 
+def chosen_places(threshold: float) -> float:
+    """Places that a large node chooses, on average."""
+    return min(BRANCH / threshold, (TOKENS - LEVELS) / 2)
+
+
+def missed(threshold: float, roots: int, levels: int) -> float:
+    """Share of the pairs at the threshold that share no node of the last of ``levels``, if all above are large."""
+    few, out = math.floor(chosen_places(threshold)), 0.0
+    more = chosen_places(threshold) - few
+    for alike in range(TOKENS + 1):  # tokens that the pair shares: fixed, whatever the number of trees
+        lost = 0.0  # that a shared node leads to none at the last level
+        for used in range(levels - 1, 0, -1):
+            p = max(0, alike - used) / (TOKENS - used)
+            die = 1 - p + p * lost
+            lost = (1 - more) * die**few + more * die ** (few + 1)
+        ways = sum(math.comb(alike, i) * math.comb(TOKENS - alike, roots - i) * lost**i for i in range(roots + 1))
+        out += math.comb(TOKENS, alike) * threshold**alike * (1 - threshold) ** (TOKENS - alike) * ways / math.comb(TOKENS, roots)
+    return out
+
+
 def trees_for(threshold: float, recall: float = 0.9999) -> int:
-    """Trees whose first levels miss a pair at the threshold with at most ``1 - recall``."""
-    return max(4, math.ceil(math.log(1 - recall) / math.log(1 - threshold) * threshold))
+    """Trees that miss a pair at the threshold with at most ``1 - recall``, at whatever level it is compared.
+
+    For thresholds below 0.5 the tokens don't suffice at the deeper levels; each place is used once then.
+    """
+    most = math.floor(TOKENS * threshold)  # each place is a root's child once
+    return next((t for t in range(4, most) if missed(threshold, math.floor(t / threshold), LEVELS) <= 1 - recall), max(4, most))
 
 
 def root_places(threshold: float, trees: int, seed: int = 11) -> list[tuple[int, int]]:
@@ -76,14 +104,14 @@ def _counted(rows: DataFrame, cross: bool) -> DataFrame:
     return hot_split_join(rows, materialize(n, "nodes"), "node", "n")
 
 
-def _compare(leaf: DataFrame, reps: DataFrame, threshold: float, cross: bool, block: bool) -> DataFrame:
+def _compare(leaf: DataFrame, reps: DataFrame, threshold: float, cross: bool) -> DataFrame:
     """Candidate pairs ``a, b`` within nodes: all pairs of a node whose sketches are near enough."""
     rows = leaf.join(reps.select("id", *SK), "id")
-    if block:  # rows of a large node meet block by block: the unit (i, j) holds the blocks i and j
-        rows = rows.withColumn("blocks", F.ceil(F.col("n") / SMALL_NODE).cast("int"))
-        rows = rows.withColumn("mine", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.withColumn("node", F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")))
+    # rows of a large node meet block by block: the unit (i, j) holds the blocks i and j
+    rows = rows.withColumn("blocks", F.ceil(F.col("n") / SMALL_NODE).cast("int"))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("node", F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")))
     rows = rows.select("node", "id", "side", *SK)
     other = rows.toDF("node", "id_b", "side_b", *[f"t{i}" for i in range(SKETCH)])
     far = sum((differing(F.col(f"s{i}"), F.col(f"t{i}")) for i in range(1, SKETCH)), differing(F.col("s0"), F.col("t0")))
@@ -92,30 +120,36 @@ def _compare(leaf: DataFrame, reps: DataFrame, threshold: float, cross: bool, bl
     return pairs.select(F.col("id").alias("a"), F.col("id_b").alias("b"))
 
 
+def _children(threshold: float) -> Column:
+    """(node, used) of the children of a large node that the text with ``tokens`` goes on to."""
+    mean = chosen_places(threshold)
+    few = math.floor(mean)
+    number = few + (F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1000)) < round(1000 * (mean - few))).cast("int")
+    free = F.filter(F.sequence(F.lit(0), F.lit(TOKENS - 1)), lambda p: ~F.array_contains("used", p))
+    # each node has its own order of the places, so that those of its path are drawn alike by all its texts
+    drawn = F.slice(F.array_sort(F.transform(free, lambda p: F.struct(F.xxhash64("node", p).alias("h"), p.alias("p")))), 1, number)
+    return F.transform(drawn, lambda c: F.struct(F.xxhash64("node", c["p"], F.element_at("tokens", c["p"] + 1)).alias("node"), F.array_append("used", c["p"]).alias("used")))
+
+
 def candidates(reps: DataFrame, threshold: float, cross: bool = False, trees: int | None = None) -> DataFrame:
     """Pairs of ids (``a < b``, or with ``cross`` those of side 0 and 1) that share a node and are near by sketch.
 
     ``reps`` (written): ``id, side, tokens`` and the sketch, one row for each set.
     """
     places = root_places(threshold, trees or trees_for(threshold))
-    nodes = F.explode(F.array(*[F.xxhash64(F.lit(t), F.lit(p), F.element_at("tokens", p + 1)) for t, p in places]))
-    rows = reps.select(nodes.alias("node"), "id", "side")
+    child = lambda t, p: F.struct(F.xxhash64(F.lit(t), F.lit(p), F.element_at("tokens", p + 1)).alias("node"), F.array(F.lit(p)).alias("used"))
+    rows = reps.select(F.explode(F.array(*[child(t, p) for t, p in places])).alias("c"), "id", "side").select("c.*", "id", "side", F.lit(None).cast("bigint").alias("above"))
     found = []
     for level in range(1, LEVELS + 1):
         kept = materialize(_counted(rows, cross), f"level{level}")
-        large = kept.filter(F.col("n") > SMALL_NODE)
-        found.append(_compare(kept.filter(F.col("n") <= SMALL_NODE), reps, threshold, cross, block=False))
+        alike = F.coalesce(F.col("n") * 2 > F.col("above"), F.lit(False)) | F.lit(level == LEVELS)
+        deeper = (F.col("n") > SMALL_NODE) & ~alike
+        found.append(_compare(kept.filter(~deeper), reps, threshold, cross))
+        large = kept.filter(deeper)
         if large.isEmpty():
             break
-        if level == LEVELS:
-            found.append(_compare(large, reps, threshold, cross, block=True))
-            break
-        # one place, and a second one so often that the mean is 1/threshold
-        second = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1000)) < round(1000 * (1 / threshold - 1))
-        place = lambda i: F.pmod(F.xxhash64("node", F.lit(i)), F.lit(TOKENS)).cast("int")
-        child = lambda i: F.xxhash64("node", place(i), F.element_at("tokens", place(i) + 1))
-        below = F.array_distinct(F.when(second, F.array(child(1), child(2))).otherwise(F.array(child(1))))
-        rows = large.select("node", "id").join(reps.select("id", "side", "tokens"), "id").select(F.explode(below).alias("node"), "id", "side").distinct()
+        large = large.select("node", "used", "id", F.col("n").alias("above")).join(reps.select("id", "side", "tokens"), "id")
+        rows = large.select(F.explode(_children(threshold)).alias("c"), "id", "side", "above").select("c.*", "id", "side", "above")
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -152,7 +186,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, k: int = 5, threshold: f
 
     Returns (``a, b, likeness``: pairs of representatives, a < b; ``id, rep``: every text that is a copy of another
     set, with the smallest key of that set). Copies are not expanded into pairs; no link between different sets is
-    left out but for the recall of the method (0.9999 at the threshold, more above it).
+    left out but for the recall of the method (0.9999 at the threshold, at every depth of the trees, more above it; less
+    in deep trees for thresholds below 0.5).
 
     Null texts and texts with fewer than ``k`` words take no part; a row with a null key takes none either. Rows with
     equal keys are one document. An empty table gives no rows; other columns of ``df`` are not read.

@@ -117,3 +117,32 @@ def test_overlap_equals_brute_force(spark):
     assert got == {(a, b) for a, x in ev for b, y in tr if likeness(x, y) >= 0.6} and (505, 504) in got
     none, _ = O.cross_split_matches(df.filter("split = 'train'"), "k", "t", "split", k=3, threshold=0.6)
     assert none.count() == 0
+
+
+def family(shared, near, own, groups, size):
+    """Groups of texts: words that all texts have, words of the group, words of the text."""
+    words = lambda name, n: [f"{name}x{i}" for i in range(n)]
+    return [(g * size + i, " ".join(words("all", shared) + words(f"g{g}", near) + words(f"g{g}t{i}", own))) for g in range(groups) for i in range(size)]
+
+
+def test_recall_of_a_large_family(spark):
+    """Several hundred texts, all alike just above the threshold."""
+    rows = family(102, 0, 32, 1, 400)
+    want = brute(rows)
+    assert len(want) == 400 * 399 // 2
+    assert len(pairs_of(spark, rows) & want) >= 0.9995 * len(want)
+
+
+def test_recall_in_deep_trees(spark, monkeypatch):
+    """Pairs just above the threshold in groups of texts that share less than half of their runs: large nodes at many levels."""
+    monkeypatch.setattr(CP, "SMALL_NODE", 8)
+    rows = family(42, 35, 24, 20, 20)
+    want = brute(rows)
+    assert len(want) == 20 * 20 * 19 // 2
+    assert len(pairs_of(spark, rows) & want) >= 0.999 * len(want)
+
+
+def test_trees_suffice_at_every_level():
+    for t in (0.5, 0.6, 0.8, 0.9):
+        roots = len(CP.root_places(t, CP.trees_for(t)))
+        assert all(CP.missed(t, roots, level) <= 1e-4 for level in range(1, CP.LEVELS + 1))
