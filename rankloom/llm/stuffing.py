@@ -6,7 +6,9 @@ within them). A segment's words count as stuffing if they are
 * in links: addresses, or the text of links (link-text ratio);
 * hash tags, or short items between separators, many in a row and without function words (separator density);
 * covered by word runs that the page repeats, in segments that are no sentences: without an end mark, or without the
-  function words of the page's language (top-word and n-gram shares, duplicate lines, missing function words).
+  function words of the page's language (n-gram shares, missing function words);
+* in such segments made of the page's top words, or in lines that the page repeats, on pages whose share of top words
+  or of duplicate lines is beyond what is usual in their language.
 
 Sentences, code, log lines and numbers never count. What repetition and what share of function words is usual for a
 language is measured over all its pages; the thresholds lie beyond it.
@@ -39,6 +41,12 @@ LEAST_PAGES = 20
 LEAST_WORDS = 12
 #: Short items in a row that make a list.
 LEAST_ITEMS = 8
+#: A top word occurs so often, and makes up such a share of the page's words without function words.
+TOP_TIMES, TOP_SHARE = 3, 0.015
+#: Top words among a segment's words from which the segment is made of them; function words that it may have.
+TOP_PART, TOP_FUNCTION = 0.4, 0.2
+#: Share of the way from the median of the page's language to 1 that top words or duplicate lines must reach.
+BEYOND = 0.4
 
 #: Function words by language, the ones that hardly any sentence lacks. Fixed values. Chinese: by character.
 FUNCTION_WORDS = {
@@ -68,15 +76,15 @@ def words_of(text: str) -> list[str]:
     return [w.lower() for w in WORD.findall(text)]
 
 
-def segments(text: str) -> Iterator[tuple[str, bool]]:
-    """The sentences and rests of each line, and whether the line is code or a log."""
+def segments(text: str) -> Iterator[tuple[str, bool, str]]:
+    """The sentences and rests of each line, whether the line is code or a log, and the line."""
     for line in text.split("\n"):
         if not line.strip():
             continue
         code = bool(CODE.search(line))
         for s in [line] if code else END.split(line):
             if s and s.strip():
-                yield s, code
+                yield s, code, line.strip()
 
 
 def measure(text: str) -> dict:
@@ -84,7 +92,9 @@ def measure(text: str) -> dict:
 
     ``words``; those in ``links``, ``items`` (tags and short items in a row), in repeated runs outside of sentences
     (``loose``) and in sentences (``repeated``); ``prose``, the words of sentences, and ``function``, their function
-    words; the share of duplicate lines (``dup_lines``) and of different runs of three words (``fresh``).
+    words; the share of top words (``top``), of duplicate lines (``dup_lines``) and of different runs of three words
+    (``fresh``). Of the other words outside of sentences, those in segments made of top words (``topped``), and in lines
+    that occur again (``again``; not counted in ``topped`` too).
     """
     links = 0
 
@@ -95,15 +105,17 @@ def measure(text: str) -> dict:
 
     rest = LINK.sub(cut, text) if ("http" in text or "www." in text or "](" in text or "<a" in text.lower()) else text
     parts = list(segments(rest))
-    tokens = [words_of(s) for s, _ in parts]
+    tokens = [words_of(s) for s, _, _ in parts]
     total = links + sum(map(len, tokens))
-    out = {"words": total, "links": links, "items": 0, "loose": 0, "prose": 0, "repeated": 0, "function": 0, "other": 0, "dup_lines": 0.0, "fresh": 1.0}
+    out = {"words": total, "links": links, "items": 0, "loose": 0, "prose": 0, "repeated": 0, "function": 0, "other": 0, "topped": 0, "again": 0, "dup_lines": 0.0, "top": 0.0, "fresh": 1.0}
     if total < LEAST_WORDS:
         return out
     grams: Counter = Counter()
     triples: list[tuple] = []
-    for w, (_, code) in zip(tokens, parts):
+    content: Counter = Counter()
+    for w, (_, code, _) in zip(tokens, parts):
         if not code:
+            content.update(x for x in w if x not in EVERY and not x[0].isdigit())
             grams.update(zip(w, w[1:]))
             triples.extend(zip(w, w[1:], w[2:]))
     grams.update(triples)
@@ -112,6 +124,10 @@ def measure(text: str) -> dict:
         out["fresh"] = sum(len(set(x)) for x in windows) / len(triples)
     lines = [x.strip() for x in text.split("\n") if x.strip()]
     out["dup_lines"] = 1 - len(set(lines)) / max(1, len(lines))
+    times = Counter(x.strip() for x in rest.split("\n"))
+    often = max(TOP_TIMES, TOP_SHARE * content.total())
+    heavy = {x for x, n in content.items() if n >= often}
+    out["top"] = sum(content[x] for x in heavy) / max(1, content.total())
     run: list[int] = []  # words of the short items in a row
 
     def close() -> None:
@@ -119,7 +135,7 @@ def measure(text: str) -> dict:
         out["items" if len(run) >= LEAST_ITEMS else "other"] += n
         run.clear()
 
-    for (s, code), w in zip(parts, tokens):
+    for (s, code, line), w in zip(parts, tokens):
         if not w:
             continue
         fn = sum(x in EVERY for x in w)
@@ -157,11 +173,16 @@ def measure(text: str) -> dict:
         else:
             out["loose"] += hit
             out["other"] += len(w) - hit
+            if fn <= TOP_FUNCTION * len(w) and sum(x in heavy for x in w) >= TOP_PART * len(w):
+                out["topped"] += len(w) - hit
+            elif times[line] > 1:
+                out["again"] += len(w) - hit
     close()
     return out
 
 
-FIELDS = ["words", "links", "items", "loose", "prose", "repeated", "function", "dup_lines", "fresh"]
+SHARES = ("dup_lines", "top", "fresh")
+FIELDS = ["words", "links", "items", "loose", "prose", "repeated", "function", "topped", "again", *SHARES]
 
 
 def measured(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
@@ -171,26 +192,28 @@ def measured(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [measure(t or "") for t in batch.column(2).to_pylist()]
-            cols = [pa.array([r[f] for r in rows], pa.float64() if f in ("dup_lines", "fresh") else pa.int64()) for f in FIELDS]
+            cols = [pa.array([r[f] for r in rows], pa.float64() if f in SHARES else pa.int64()) for f in FIELDS]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["key", "lang", *FIELDS])
 
     d = df.select(F.col(key).alias("key"), F.lower(F.coalesce(F.col(lang), F.lit("und"))).alias("lang"), F.col(text).alias("text"))
-    out = ", ".join(f"{f} {'double' if f in ('dup_lines', 'fresh') else 'bigint'}" for f in FIELDS)
+    out = ", ".join(f"{f} {'double' if f in SHARES else 'bigint'}" for f in FIELDS)
     return d.mapInArrow(work, f"key {kind}, lang string, {out}")
 
 
 def norms(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What is usual per language, and over all pages (one row): the median of ``fresh``, and of function words."""
-    usual = [F.percentile_approx("fresh", 0.5, 1000).alias("fresh_norm"), F.percentile_approx(F.try_divide("function", "prose"), 0.1, 1000).alias("function_norm")]
+    """What is usual per language, and over all pages (one row): the median of each share, and few function words."""
+    usual = [F.percentile_approx(x, 0.5, 1000).alias(f"{x}_norm") for x in SHARES]
+    usual += [F.percentile_approx(F.try_divide("function", "prose"), 0.1, 1000).alias("function_norm")]
     d = pages.filter(F.col("words") >= LEAST_WORDS)
     per = d.groupBy("lang").agg(F.count(F.lit(1)).alias("pages"), *usual).filter(F.col("pages") >= LEAST_PAGES)
-    return per.drop("pages"), d.agg(*[u.alias(f"any_{n}") for u, n in zip(usual, ("fresh", "function"))])
+    return per.drop("pages"), d.agg(*[u.alias(f"any_{n}") for u, n in zip(usual, (*SHARES, "function"))])
 
 
 def stuffed_pages(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     """``key, share, stutters`` of the pages whose share of stuffing reaches SHARE.
 
-    Words repeated within sentences count too on pages with LEAST_SHARE of stuffing outside of them that stutter beyond
+    Segments of top words count where top words, repeated lines where duplicate lines are more than usual in the page's
+    language. Words repeated within sentences count too on pages with LEAST_SHARE of stuffing outside of them that stutter beyond
     what is usual in their language, or whose sentences have less than half of the function words that nearly all pages
     of the language have.
 
@@ -204,7 +227,11 @@ def stuffed_pages(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     fresh, function = F.coalesce("fresh_norm", "any_fresh"), F.coalesce("function_norm", "any_function")
     stutters = F.col("fresh") < STUTTER * fresh
     bare = F.coalesce(F.col("function") < 0.5 * function * F.col("prose"), F.lit(False))
+    norm = lambda x: F.coalesce(f"{x}_norm", f"any_{x}")
+    beyond = lambda x: F.col(x) >= norm(x) + BEYOND * (1 - norm(x))
     outside = F.col("links") + F.col("items") + F.col("loose")
+    outside += F.when(beyond("top"), F.col("topped")).otherwise(0)
+    outside += F.when(beyond("dup_lines"), F.col("again")).otherwise(0)
     stuffing = outside + F.when((stutters | bare) & (outside >= LEAST_SHARE * F.col("words")), F.col("repeated")).otherwise(0)
     out = d.withColumn("share", F.try_divide(stuffing, F.col("words"))).withColumn("stutters", stutters)
     out = out.filter((F.col("words") >= LEAST_WORDS) & (F.col("share") >= SHARE))

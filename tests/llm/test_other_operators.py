@@ -197,3 +197,29 @@ def test_pages(spark):
     assert {names[i] for i in got if i < 100} == {n for n, (_, spam) in PAGES.items() if spam} and max(got) < 100
     assert stuffing.stuffed_pages(df.limit(0), "doc_id", "text", "lang").count() == 0
     assert stuffing.stuffed_pages(df.filter("text is null"), "doc_id", "text", "lang").count() == 0
+
+
+def english(spark, pages):
+    """Pages among 40 of English sentences; the names of those found."""
+    names = list(pages)
+    rows = [(i, pages[n]) for i, n in enumerate(names)] + [(100 + i, SENTENCE + f"Then the number {i} is in the box of the house.") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("lang", F.lit("en"))
+    return {names[r.doc_id] if r.doc_id < 100 else r.doc_id for r in stuffing.stuffed_pages(df, "doc_id", "text", "lang").collect()}
+
+
+def shuffled(n, times, seed=1):
+    words = [a + b for a in ("lap", "desk", "tab", "note", "net", "chrome") for b in ("top", "let", "book", "pad", "case", "bag")][:n] * times
+    random.Random(seed).shuffle(words)
+    return words
+
+
+def test_top_words_and_duplicate_lines(spark):
+    pages = {
+        "shuffled": " ".join(shuffled(36, 10)),
+        "one keyword": " ".join(f"laptop word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(90)),
+        "lines twice": "\n".join(" ".join(f"w{chr(97 + i)}{chr(97 + j)}" for j in range(6)) for i in range(20) for _ in range(2)),
+        "different words": " ".join(f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(180)),
+        "different lines": "\n".join(" ".join(f"w{chr(97 + i)}{chr(97 + j)}" for j in range(6)) for i in range(20)),
+        "sentences twice": "\n".join(f"The {x} cat must see the {x} house before the dog can walk to it." for x in ("old", "new", "red") for _ in range(2)),
+    }
+    assert english(spark, pages) == {"shuffled", "one keyword", "lines twice"}
