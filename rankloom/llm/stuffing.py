@@ -29,10 +29,16 @@ from rankloom.session import materialize
 #: Share of a page's words that must be stuffing. Sentences without end marks, titles and names leave some words
 #: uncounted on either side, so this lies in the middle of the range between the kinds of page.
 SHARE = 0.5
-#: Share of a page's words that must be stuffing outside of sentences before words in sentences count at all.
+#: Share of a page's words that must be stuffing outside of sentences before words in sentences count, unless the page
+#: stutters extremely.
 LEAST_SHARE = 0.25
 #: A page stutters if its share of different runs of three words is below this part of its language's median.
 STUTTER = 0.7
+#: Below this part of the median the page stutters extremely; or below twice that part, with more top words and fewer
+#: function words than usual, as glossaries and other sentences of one form have usual ones.
+EXTREME = 0.25
+#: Part of the usual share of function words below which there are fewer.
+FEWER = 0.8
 #: Runs among which that share is taken, so that it doesn't fall with the length of the page.
 WINDOW = 120
 #: Pages that a language must have for a norm of its own.
@@ -201,12 +207,12 @@ def measured(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
 
 
 def norms(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What is usual per language, and over all pages (one row): the median of each share, and few function words."""
+    """What is usual per language, and over all pages (one row): the median of each share, few and usual function words."""
     usual = [F.percentile_approx(x, 0.5, 1000).alias(f"{x}_norm") for x in SHARES]
-    usual += [F.percentile_approx(F.try_divide("function", "prose"), 0.1, 1000).alias("function_norm")]
+    usual += [F.percentile_approx(F.try_divide("function", "prose"), q, 1000).alias(f"{x}_norm") for x, q in (("function", 0.1), ("functions", 0.5))]
     d = pages.filter(F.col("words") >= LEAST_WORDS)
     per = d.groupBy("lang").agg(F.count(F.lit(1)).alias("pages"), *usual).filter(F.col("pages") >= LEAST_PAGES)
-    return per.drop("pages"), d.agg(*[u.alias(f"any_{n}") for u, n in zip(usual, (*SHARES, "function"))])
+    return per.drop("pages"), d.agg(*[u.alias(f"any_{n}") for u, n in zip(usual, (*SHARES, "function", "functions"))])
 
 
 def stuffed_pages(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
@@ -215,7 +221,7 @@ def stuffed_pages(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     Segments of top words count where top words, repeated lines where duplicate lines are more than usual in the page's
     language. Words repeated within sentences count too on pages with LEAST_SHARE of stuffing outside of them that stutter beyond
     what is usual in their language, or whose sentences have less than half of the function words that nearly all pages
-    of the language have.
+    of the language have; on pages that stutter extremely they count whatever lies outside of sentences.
 
     Null, empty and short pages (fewer than LEAST_WORDS words) are none; every row of a page delivered again counts; a
     null or unknown language is judged by the norm over all. An empty table gives no rows. Other columns aren't read.
@@ -232,7 +238,10 @@ def stuffed_pages(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     outside = F.col("links") + F.col("items") + F.col("loose")
     outside += F.when(beyond("top"), F.col("topped")).otherwise(0)
     outside += F.when(beyond("dup_lines"), F.col("again")).otherwise(0)
-    stuffing = outside + F.when((stutters | bare) & (outside >= LEAST_SHARE * F.col("words")), F.col("repeated")).otherwise(0)
+    fewer = F.coalesce(F.col("function") < FEWER * norm("functions") * F.col("prose"), F.lit(False))
+    extreme = (F.col("fresh") < EXTREME * fresh) | ((F.col("fresh") < 2 * EXTREME * fresh) & beyond("top") & fewer)
+    inside = ((stutters | bare) & (outside >= LEAST_SHARE * F.col("words"))) | extreme
+    stuffing = outside + F.when(inside, F.col("repeated")).otherwise(0)
     out = d.withColumn("share", F.try_divide(stuffing, F.col("words"))).withColumn("stutters", stutters)
     out = out.filter((F.col("words") >= LEAST_WORDS) & (F.col("share") >= SHARE))
     return out.select(F.col("key").alias(key), "share", "stutters")

@@ -223,3 +223,15 @@ def test_top_words_and_duplicate_lines(spark):
         "sentences twice": "\n".join(f"The {x} cat must see the {x} house before the dog can walk to it." for x in ("old", "new", "red") for _ in range(2)),
     }
     assert english(spark, pages) == {"shuffled", "one keyword", "lines twice"}
+
+
+def test_keyword_phrases_with_full_stops(spark):
+    rng = random.Random(3)
+    phrase = lambda: f"{rng.choice(('The best', 'Buy the', 'A new'))} cheap laptop for {rng.choice(('gaming', 'school', 'office', 'travel'))}."
+    once = ("The old cat sleeps in the sun.", "A bird must leave before it is dark.", "We read to the children all day.", "Snow fell on the roof of his barn.")
+    sorts, uses = ("cheap", "small", "light", "fast", "quiet"), ("gaming", "school", "office", "travel", "video", "music", "coding", "photos", "study")
+    varied = " ".join(f"Buy the {rng.choice(sorts)} laptop for {rng.choice(uses)} online." for _ in range(60))
+    assert 0.25 < stuffing.measure(varied)["fresh"] < 0.5
+    pages = {"varied": varied, "phrases": " ".join(phrase() for _ in range(40)), "few phrases": " ".join(x for s in once for x in (phrase(), s)), "prose": PAGES["prose"][0], "glossary": PAGES["glossary"][0]}
+    assert stuffing.measure(pages["phrases"])["prose"] == stuffing.measure(pages["phrases"])["words"]
+    assert english(spark, pages) == {"phrases", "varied"}
