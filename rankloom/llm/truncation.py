@@ -2,8 +2,8 @@
 
 Method: per source, histograms of the length of the text in characters and in bytes and of its number of tokens are
 searched for spikes (lengths that occur far more often than their neighbours do); values at such a length are cut if
-their end is open. A limit leaves a spike; a broken transfer leaves none, so that away from spikes only an end that no
-complete text has counts, while at a spike weaker signs suffice.
+their end is open. A limit leaves a spike; a broken transfer leaves none, so that away from spikes only a broken end
+counts, or one that is hardly ever meant, while at a spike weaker signs suffice: any statement that can end a program.
 
 What was added after the cut (white space, a closing fence, a mark such as ``...``) is set aside before lengths and
 ends are looked at. Complete programs with errors aren't cut: only the end is looked at, never the whole syntax.
@@ -43,6 +43,10 @@ IDENT = re.compile(r"[^\W\d]\w*")
 STRING = re.compile(r"'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"")
 KNOWN = frozenset(keyword.kwlist) | frozenset(dir(builtins))
 PAIRS = {")": "(", "]": "[", "}": "{"}
+#: Methods that are called, not read: a line that ends in one, or in the beginning of one, breaks off.
+METHODS = frozenset(m for t in (str, list, dict, set) for m in dir(t) if m[0] != "_")
+HEAD = re.compile(r"(?:(?:async|def|class|for|while|if|elif|else|try|except|finally|with)\b|(?:match|case) [^=]*:|@)")
+STORE = re.compile(r"([^\W\d]\w*)(?:\s*:[^=]*)?\s*(?:[-+*/%&|^]|//|\*\*|<<|>>)?=(?!=)")
 
 
 def without_additions(text: str) -> tuple[str, bool]:
@@ -58,7 +62,7 @@ def code_end(t: str) -> int:
     last = lines[-1].rstrip("\r")
     line = last.strip()
     above = "\n".join(lines[:-1])
-    if above.count('"""') % 2 or (above.count("'''") % 2):
+    if t.count('"""') % 2 or t.count("'''") % 2:
         return OPEN
     if line.startswith("#"):
         return OPEN if last[:1] in " \t" else WEAK
@@ -81,7 +85,58 @@ def code_end(t: str) -> int:
         return OPEN if line == "return" else DONE if line.startswith("print(") else CLOSED
     if last[:1] not in " \t" and re.match(r"\w+(?:\.\w+)*\(.*\)$", line):  # a call at the top level
         return CLOSED
-    return OPEN
+    return statement_end(last, lines[:-1], bare)
+
+
+def broken_name(bare: str, seen: frozenset) -> bool:
+    """Whether a line ends in a name that the text hasn't had, or in a method that isn't called."""
+    m = re.search(r"(\.\s*)?\b([^\W\d]\w*)$", bare)
+    if not m or m[2] in seen:
+        return False
+    return any(x.startswith(m[2]) for x in METHODS) if m[1] else m[2] not in KNOWN
+
+
+def body_of(line: str) -> str:
+    """What follows the colon of a compound statement in its line."""
+    depth = 0
+    for i, c in enumerate(line):
+        depth += (c in "([{") - (c in ")]}")
+        if c == ":" and not depth and line[i + 1 : i + 2] != "=":
+            return line[i + 1 :].strip()
+    return ""
+
+
+def statement_end(last: str, above: list[str], bare: str) -> int:
+    """How open a last line is that is no comment, return, print or call at the top level: WEAK if it can be complete."""
+    line = body_of(bare) if HEAD.match(bare) else bare
+    if not line:  # a compound statement without its body
+        return OPEN
+    indent = len(last) - len(last.lstrip())
+    heads, least = [], indent  # the lines that hold this one, the nearest first
+    for i in range(len(above) - 1, -1, -1):
+        x = above[i].strip()
+        if x and len(above[i]) - len(above[i].lstrip()) < least:
+            least = len(above[i]) - len(above[i].lstrip())
+            heads.append((i, x))
+            if re.match(r"(?:async )?def |class ", x) or not least:
+                break
+    within = bool(heads) and bool(re.match(r"(?:async )?def ", heads[-1][1]))
+    text = "\n".join(above)
+    if re.fullmatch(r"[^\W\d]\w*", line) and line not in ("pass", "break", "continue", "yield", "raise"):
+        # a name alone: shown by a notebook at the top level, else nothing
+        return WEAK if not indent and line in frozenset(IDENT.findall(text)) else OPEN
+    if not re.match(r"(?:import|from|global|nonlocal|del|class)\b", line) and broken_name(line, frozenset(IDENT.findall(text))):
+        return OPEN
+    if within and re.fullmatch(r"[rRuUbBfF]*(?:'')+", line):  # a function of a docstring only
+        return OPEN
+    store = STORE.match(line)
+    if within and store:  # a local name that nothing reads any more
+        name = re.compile(rf"\b{store[1]}\b")
+        body = above[heads[-1][0] + 1 :]
+        loops = [i for i, x in heads if re.match(r"(?:async )?(?:for|while)\b", x)]
+        if not any(re.match(r"\s*(?:global|nonlocal)\b", x) and name.search(x) for x in body) and not (loops and name.search("\n".join(above[loops[-1] :]))):
+            return OPEN
+    return WEAK
 
 
 def prose_end(t: str) -> int:

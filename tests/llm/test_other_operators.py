@@ -235,3 +235,33 @@ def test_keyword_phrases_with_full_stops(spark):
     pages = {"varied": varied, "phrases": " ".join(phrase() for _ in range(40)), "few phrases": " ".join(x for s in once for x in (phrase(), s)), "prose": PAGES["prose"][0], "glossary": PAGES["glossary"][0]}
     assert stuffing.measure(pages["phrases"])["prose"] == stuffing.measure(pages["phrases"])["words"]
     assert english(spark, pages) == {"phrases", "varied"}
+
+
+HEAD = "class Queue:\n    def __init__(self):\n        self.items = []\n\n"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        HEAD + "    def put(self, x):\n        self.items.append(x)",
+        HEAD + "    def reset(self, n):\n        self.items = [n]",
+        HEAD + "    def close(self):\n        pass",
+        HEAD + "    def get(self):\n        raise ValueError('no item')",
+        HEAD + "    def get(self):\n        raise NotImplementedError",
+        HEAD + "    def each(self):\n        for x in self.items:\n            yield x",
+        HEAD + "    def drop(self):\n        while self.items:\n            if self.items.pop(): break",
+        HEAD + "    def count(self, n):\n        while n > 0:\n            print(n)\n            n = n - 1",
+        HEAD + "def main():\n    print(Queue().items)\n\nif __name__ == '__main__':\n    main()",
+        HEAD + "queue = Queue()\nresult = len(queue.items)",
+        HEAD + "class Empty(Exception):\n    \"\"\"No item is left.\"\"\"",
+    ],
+)
+def test_complete_programs_of_other_endings(spark, text):
+    assert truncation.end_of(text)[2] == truncation.WEAK
+    df = spark.createDataFrame([(1, text, 30, "a")], "k bigint, t string, n int, src string")
+    assert truncation.truncated(df, "k", "t", "n", "src").first()["cut"] is False
+
+
+@pytest.mark.parametrize("end", ["def", "def pu", "    def put(self, x):", "    def put(self, x):\n        se", "    def put(self, x):\n        if x != sum(x[1:])", "    def put(self, x):\n        self.items = x.ge", "    def put(self, x):\n        last = 2", "    def put(self, x):\n        self.items = ot", "    def put(self, x):\n        \"\"\"Put it"])
+def test_broken_ends_need_no_spike(end):
+    assert truncation.end_of(HEAD + end)[2] == truncation.OPEN
