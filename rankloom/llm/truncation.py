@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from rankloom.session import materialize
 
-#: Texts shorter than this show no end to judge.
-LEAST_CHARS = 40
+#: Texts shorter than this are often junk: of their ends only broken code, a lost character or a mark counts away from
+#: spikes, and prose of LEAST_WORDS or more without an end at spikes.
+LEAST_CHARS, LEAST_WORDS = 40, 4
 #: A spike holds at least SPIKE_ROWS values, and TIMES as many as the mean of its neighbours within REACH.
 SPIKE_ROWS, TIMES, REACH = 6, 5.0, 40
 #: A limit in bytes may lose the rest of a character: such values lie up to three bytes below.
@@ -150,12 +151,20 @@ def prose_end(t: str) -> int:
     return OPEN
 
 
+def short_end(t: str, mark: bool) -> int:
+    """How open the end of a short text is."""
+    many = len(t.split()) >= LEAST_WORDS
+    if t.rstrip().endswith("�") or (mark and many) or (CODE.search(t) and code_end(t) == OPEN):
+        return OPEN
+    return WEAK if many and not CODE.search(t) and prose_end(t) == OPEN else CLOSED
+
+
 def end_of(text: str) -> tuple[int, int, int]:
     """(characters, bytes without additions, how open the end is)."""
     t, mark = without_additions(text)
     size = len(t), len(t.encode("utf-8", "replace"))
     if len(text.strip()) < LEAST_CHARS:
-        return *size, CLOSED
+        return *size, short_end(t, mark)
     if mark or t.rstrip().endswith("�"):
         return *size, OPEN
     if not t.strip():
@@ -167,32 +176,36 @@ def end_of(text: str) -> tuple[int, int, int]:
 
 
 def ends(df: DataFrame, key: str, text: str, tokens: str, source: str) -> DataFrame:
-    """``key, source, chars, bytes, tokens, openness`` of the rows with a text; the source ``null`` is one of its own."""
+    """``key, source, chars, bytes, tokens, openness, same`` (a hash of the text) of the rows with a text; the source
+    ``null`` is one of its own."""
     kind = df.select(key).dtypes[0][1]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [end_of(t) for t in batch.column(3).to_pylist()]
+            got = [end_of(t) for t in batch.column(4).to_pylist()]
             cols = [pa.array([g[i] for g in got], pa.int64()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *cols], ["key", "source", "tokens", "chars", "bytes", "openness"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), *cols], ["key", "source", "tokens", "same", "chars", "bytes", "openness"])
 
-    d = df.select(F.col(key).alias("key"), F.coalesce(F.col(source).cast("string"), F.lit("null")).alias("source"), F.col(tokens).cast("bigint").alias("tokens"), F.col(text).alias("text"))
+    d = df.select(F.col(key).alias("key"), F.coalesce(F.col(source).cast("string"), F.lit("null")).alias("source"), F.col(tokens).cast("bigint").alias("tokens"), F.xxhash64(text).alias("same"), F.col(text).alias("text"))
     d = d.filter(F.col("text").isNotNull())
-    return d.mapInArrow(work, f"key {kind}, source string, tokens bigint, chars bigint, bytes bigint, openness bigint")
+    return d.mapInArrow(work, f"key {kind}, source string, tokens bigint, same bigint, chars bigint, bytes bigint, openness bigint")
 
 
 def spikes(rows: DataFrame) -> DataFrame:
     """``source, measure, length, n, usual``: the lengths at which values pile up, by source and measure.
 
     The histogram has one row per source, measure and length, counted with map-side combining; its windows see lengths,
-    not values. Of a spike's values at least a quarter have an open end, else the length is merely frequent.
+    not values. Of a spike's values at least a quarter have an open end, else the length is merely frequent. Lengths are
+    searched down to 1; a short text counts once, however often it comes, as junk is the same text again and again.
     """
-    long = rows.select("source", "openness", F.explode(F.create_map(F.lit("chars"), F.col("chars"), F.lit("bytes"), F.col("bytes"), F.lit("tokens"), F.col("tokens"))).alias("measure", "length"))
-    hist = long.filter(F.col("length") >= LEAST_CHARS).groupBy("source", "measure", "length").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("openness") == OPEN).alias("open"))
+    short = F.col("chars") < LEAST_CHARS
+    once = rows.filter(short).dropDuplicates(["source", "same"])
+    long = rows.filter(~short).unionByName(once).withColumn("open", (F.col("openness") == OPEN) | (short & (F.col("openness") == WEAK))).select("source", "open", F.explode(F.create_map(F.lit("chars"), F.col("chars"), F.lit("bytes"), F.col("bytes"), F.lit("tokens"), F.col("tokens"))).alias("measure", "length"))
+    hist = long.filter(F.col("length") >= 1).groupBy("source", "measure", "length").agg(F.count(F.lit(1)).alias("n"), F.count_if("open").alias("open"))
     around = Window.partitionBy("source", "measure").orderBy("length")
     total = F.sum("n").over(around.rangeBetween(-REACH, REACH))
     near = F.sum("n").over(around.rangeBetween(-SLACK, SLACK))
-    hist = hist.withColumn("usual", (total - near) / F.lit(2.0 * (REACH - SLACK)))
+    hist = hist.withColumn("usual", (total - near) / (F.greatest(F.lit(0), F.least(F.lit(REACH), F.col("length") - 1) - SLACK) + float(REACH - SLACK)))
     found = (F.col("n") >= SPIKE_ROWS) & (F.col("n") >= TIMES * F.greatest("usual", F.lit(0.5))) & (F.col("open") * 4 >= F.col("n"))
     return hist.filter(found).select("source", "measure", "length", "n", "open", "usual")
 
@@ -211,13 +224,13 @@ def cut_rows(rows: DataFrame) -> DataFrame:
     limit = F.when(has("chars", F.col("chars")), "chars").when(at_bytes, "bytes").when(has("tokens", F.col("tokens")), "tokens")
     short = F.coalesce(ratio < FEW_BYTES * F.col("usual_bytes"), F.lit(False))
     cut = (F.col("openness") == OPEN) | (limit.isNotNull() & ((F.col("openness") == WEAK) | ((F.col("openness") == CLOSED) & short)))
-    return d.select("key", "source", limit.alias("limit"), (cut & (F.col("chars") >= LEAST_CHARS // 2)).alias("cut"))
+    return d.select("key", "source", limit.alias("limit"), cut.alias("cut"))
 
 
 def truncated(df: DataFrame, key: str, text: str, tokens: str, source: str) -> DataFrame:
     """``key, source, limit, cut`` of every row with a text.
 
-    Null texts give no row, empty and very short ones are never cut. Every delivery of a row counts. A null number of
+    Null texts give no row, empty ones are never cut, short ones only as said at LEAST_CHARS. Every delivery of a row counts. A null number of
     tokens takes no part in its histogram; a null source is a source. An empty table gives no rows. Other columns of
     ``df`` are not read. Texts are looked at whole.
     """

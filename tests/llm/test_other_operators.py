@@ -265,3 +265,19 @@ def test_complete_programs_of_other_endings(spark, text):
 @pytest.mark.parametrize("end", ["def", "def pu", "    def put(self, x):", "    def put(self, x):\n        se", "    def put(self, x):\n        if x != sum(x[1:])", "    def put(self, x):\n        self.items = x.ge", "    def put(self, x):\n        last = 2", "    def put(self, x):\n        self.items = ot", "    def put(self, x):\n        \"\"\"Put it"])
 def test_broken_ends_need_no_spike(end):
     assert truncation.end_of(HEAD + end)[2] == truncation.OPEN
+
+
+def test_short_texts_and_limits(spark):
+    rng = random.Random(4)
+    words = ("apples", "pears", "boxes", "of", "and", "then", "seven", "in", "each", "crate", "with", "more")
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n)).capitalize() + "."
+    rows = [(i, "chars", prose(12)[:32].rstrip().ljust(32, "x"), None) for i in range(40)] + [(100 + i, "chars", prose(4 + i % 20), None) for i in range(60)]
+    rows += [(200 + i, "tokens", prose(40)[:100 + i].rstrip(".") + "x", 32) for i in range(40)] + [(300 + i, "tokens", prose(14 + i % 9), 20 + i % 30) for i in range(60)]
+    rows += [(400 + i, "junk", "I can not solve this one", 6) for i in range(30)] + [(500 + i, "junk", t, i) for i, t in enumerate(("pass", "return 0", "x = 1", "...", "", "n/a ..."))]
+    rows += [(600, "junk", "def solve(n):\n retu", 6), (601, "junk", "def f(", 3), (602, "junk", "a broken \ufffd", 3)]
+    df = spark.createDataFrame(rows, "k bigint, src string, t string, n int")
+    e = truncation.ends(df, "k", "t", "n", "src").cache()
+    found = {(r.source, r.measure, r.length) for r in truncation.spikes(e).collect()}
+    assert {("chars", "chars", 32), ("tokens", "tokens", 32)} <= found and not any(x[0] == "junk" for x in found)
+    cut = {r.key for r in truncation.cut_rows(e).filter("cut").collect()}
+    assert cut == {*range(40), *range(200, 240), 600, 601, 602}
