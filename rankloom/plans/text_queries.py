@@ -169,6 +169,12 @@ def batch_pack(spark, sf_dir):
     return out.select("solution_key", "batch")
 
 
+def batch_pack_parts(spark, sf_dir):
+    """The distributed form of ``batch_pack``: parts of the order of lengths, each packed by a task of its own."""
+    d = solutions(spark, sf_dir).filter("num_tokens is not null").select("solution_key", F.col("num_tokens").cast("bigint").alias("num_tokens"))
+    return B.packed(d, "num_tokens", "solution_key", 4096, 8).select("solution_key", "num_tokens", "part", "batch")
+
+
 def batch_estimate(spark, sf_dir):
     return B.estimated_batches(solutions(spark, sf_dir), F.col("num_tokens"), 4096)
 
@@ -210,7 +216,7 @@ QUERIES = {
     for f in (
         fence_strip, whitespace_strip, program_postprocess, lint_parse, model_sizes, clock_times, path_parts, prompt_render, icl_render, chat_render, dummy_prefix, preference_suffixes, json_fields,
         private_ladder, status_decode, completed_outcomes, share_passed, trial_elapsed, problem_keep, left_truncate, pad_to_longest, token_specials, logsoftmax_gather, binary_scores, mean_logprob,
-        batch_pack, batch_estimate, syntax_validity, import_counts, docstrings, comment_free, suite_zero_shot, suite_throughput,
+        batch_pack, batch_pack_parts, batch_estimate, syntax_validity, import_counts, docstrings, comment_free, suite_zero_shot, suite_throughput,
     )
 }
 

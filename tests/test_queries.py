@@ -32,3 +32,17 @@ def test_query(spark, sql, name):
     want = sql.execute(twin).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert norm(got) == norm(want)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_packing_in_parts(spark):
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = registry.queries()["batch_pack_parts"](spark, SF).toPandas()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    one = registry.queries()["batch_pack"](spark, SF).toPandas()
+    assert got.part.nunique() > 1 and sorted(got.solution_key) == sorted(one.solution_key)
+    for _, b in got.groupby(["part", "batch"]):
+        assert len(b) == 1 or len(b) * (b.num_tokens.max() + 8 - b.num_tokens.max() % 8) <= 4096
