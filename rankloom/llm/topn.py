@@ -3,9 +3,11 @@
 Method: a score histogram per group gives a lower threshold that is safe (at least N different items reach it); rows
 below it are dropped before anything is moved, and the survivors are ranked exactly.
 
-The bins follow the octaves of the score (256 to an octave), so they need no range beforehand and a group has at most
-``2**20`` of them whatever its size. Deliveries of one item repeat, so a bin is credited only with the items that are
-surely different: its smallest and its largest item, counted once over all bins of the group.
+Every group of more than ``GAIN * N`` rows has a histogram; smaller ones have nothing to gain, as a histogram would move as
+many rows as they have. Bins are parts of the octaves of the score, so they need no range beforehand; the larger the
+group, the finer they are. Deliveries of one item repeat, so a bin doesn't count rows but holds a bit map of its items'
+hashes: the set bits, taken together over the bins from the top, are a number of different items that is surely reached.
+Histograms are folded to one threshold a group where they are made; only thresholds are moved further.
 """
 
 from __future__ import annotations
@@ -13,41 +15,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Groups that get a threshold, the largest first: the broadcast table of thresholds has at most so many rows.
-#: Groups beyond need none; they are smaller than all of these and their rows go to the exact ranking whole.
-MAX_THRESHOLDS = 50_000
+from rankloom.operators.skew import bounded_join
+from rankloom.session import materialize
+
+#: Groups of more than so many rows for each item wanted have a histogram.
+GAIN = 16
+#: Finest bins to an octave, as a power of two; and the coarsest, which groups of up to COARSE_ROWS rows have.
+FINE_BITS, COARSE_BITS, COARSE_ROWS = 8, 2, 1000
+#: Items that one integer of the bit map can prove, with room for hashes that meet.
+PER_WORD = 24
 
 
 def score_bin(score: Column) -> Column:
     """An integer that never falls as the score rises; -infinity has the lowest, infinity the highest."""
+    steps = float(1 << FINE_BITS)
     mag = F.abs(score)
     octave = F.least(F.greatest(F.floor(F.log2(mag)), F.lit(-1000)), F.lit(1023)).cast("double")
-    step = F.least(F.greatest(F.floor((mag / F.pow(F.lit(2.0), octave) - 1.0) * 256.0), F.lit(0)), F.lit(255))
-    code = F.when(mag < F.lit(2.0**-1000), F.lit(0)).otherwise((octave + 1001.0) * 256.0 + step).cast("int")
+    step = F.least(F.greatest(F.floor((mag / F.pow(F.lit(2.0), octave) - 1.0) * steps), F.lit(0)), F.lit(steps - 1))
+    code = F.when(mag < F.lit(2.0**-1000), F.lit(0)).otherwise((octave + 1001.0) * steps + step).cast("int")
     top = F.lit(1 << 20)
     return F.when(mag == F.lit(float("inf")), F.when(score > 0, top).otherwise(-top)).otherwise(F.when(score < 0, -code).otherwise(code))
 
 
-def thresholds(df: DataFrame, keys: list[str], item: str, n: int) -> DataFrame:
-    """For the largest groups: the bin (``__floor``) that at least ``n`` different items reach.
-
-    ``df`` has the keys, the item and ``__bin``. Groups that can't prove ``n`` items have a null ``__floor``.
-    """
-    hist = df.groupBy(*keys, "__bin").agg(F.count(F.lit(1)).alias("c"), F.min(item).alias("lo"), F.max(item).alias("hi"))
-    per = hist.groupBy(*keys).agg(F.sum("c").alias("__rows"), F.collect_list(F.struct((-F.col("__bin")).alias("b"), "lo", "hi")).alias("bins"))
-    per = per.filter(F.col("__rows") > 4 * n).orderBy(F.desc("__rows"), *keys).limit(MAX_THRESHOLDS)
-    kind = dict(df.dtypes)[item]
-    start = F.struct(F.array().cast(f"array<{kind}>").alias("seen"), F.lit(None).cast("int").alias("floor"))
-
-    def step(acc: Column, x: Column) -> Column:
-        seen = F.array_union(acc["seen"], F.array_compact(F.array(x["lo"], x["hi"])))
-        done = acc["floor"].isNotNull()
-        return F.struct(F.when(done, acc["seen"]).otherwise(seen).alias("seen"), F.when(done, acc["floor"]).when(F.size(seen) >= n, -x["b"]).cast("int").alias("floor"))
+def sizes(d: DataFrame, names: list[str], least: int) -> DataFrame:
+    """``g_<key>, g_rows, g_shift`` of the groups of more than ``least`` rows: how far their bins are coarsened."""
+    rows = F.col("g_rows")
+    finer = F.floor(F.log2(F.greatest(rows / COARSE_ROWS, F.lit(1.0)))).cast("int")
+    per = d.groupBy(*[F.col(a).alias(f"g_{a}") for a in names]).agg(F.count(F.lit(1)).alias("g_rows")).filter(rows > least)
+    return per.withColumn("g_shift", F.greatest(F.lit(0), F.lit(FINE_BITS - COARSE_BITS) - finer))
 
-    return per.select(*keys, F.aggregate(F.array_sort("bins"), start, step, lambda a: a["floor"]).alias("__floor"))
 
+def thresholds(d: DataFrame, large: DataFrame, names: list[str], n: int, most: int | None = None) -> DataFrame:
+    """``f_<key>, f_rows, f_shift, f_floor``: the coarsened bin that at least ``n`` different items of the group reach.
 
-def top_n_per_group(df: DataFrame, keys: list[str], score: str, item: str, n: int) -> DataFrame:
+    ``d`` has the keys, ``item`` and ``__bin``; ``large`` (written) is what ``sizes`` gives. A group that can't prove ``n`` items
+    has no row.
+    """
+    words = -(-n // PER_WORD)
+    own = [f"g_{a}" for a in names]
+    rows = bounded_join(d, large, names, own, "g_rows", most=most)
+    h = F.pmod(F.xxhash64("item"), F.lit(64 * words))
+    bit = F.expr("shiftleft(1L, cast(h % 64 as int))")
+    rows = rows.select(*own, "g_rows", "g_shift", F.expr("shiftright(__bin, g_shift)").alias("b"), h.alias("h"))
+    maps = [F.bit_or(F.when(F.floor(F.col("h") / 64) == i, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"w{i}") for i in range(words)]
+    hist = rows.groupBy(*own, "g_rows", "g_shift", "b").agg(*maps)
+    above = Window.partitionBy(*own).orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    proven = sum((F.bit_count(F.bit_or(f"w{i}").over(above)) for i in range(1, words)), F.bit_count(F.bit_or("w0").over(above)))
+    hist = hist.select(*own, "g_rows", "g_shift", "b", proven.alias("proven"))
+    per = hist.filter(F.col("proven") >= n).groupBy(*own, "g_rows", "g_shift").agg(F.max("b").alias("f_floor"))
+    return per.select(*[F.col(f"g_{a}").alias(f"f_{a}") for a in names], F.col("g_rows").alias("f_rows"), F.col("g_shift").alias("f_shift"), "f_floor")
+
+
+def top_n_per_group(df: DataFrame, keys: list[str], score: str, item: str, n: int, gain: int = GAIN, most: int | None = None) -> DataFrame:
     """The ``n`` items of highest score of each group: the keys, ``item``, ``score`` and ``rank`` (1 to n).
 
     * Rows with the same keys and item are one item; it has its highest score.
@@ -55,13 +74,18 @@ def top_n_per_group(df: DataFrame, keys: list[str], score: str, item: str, n: in
     * Null and NaN scores take no part; -infinity is the lowest score and takes part. -0.0 equals 0.0.
     * A null key is a group like any other. Groups with fewer items give them all; an empty table gives no rows.
     * Other columns of ``df`` are not read, so their names may clash with nothing.
+
+    ``gain`` (rows for each item wanted from which a group has a histogram) and ``most`` (thresholds that are broadcast; the
+    others reach their rows by a shuffle) change the plan, never the result.
     """
     names = [f"k{i}" for i in range(len(keys))]
     d = df.select(*[df[k].alias(a) for k, a in zip(keys, names)], df[item].alias("item"), (df[score].cast("double") + F.lit(0.0)).alias("score"))
-    d = d.filter(F.col("score").isNotNull() & ~F.isnan("score")).withColumn("__bin", score_bin(F.col("score")))
-    floor = thresholds(d, names, "item", n).select(*[F.col(a).alias(f"f_{a}") for a in names], "__floor")
-    on = [F.col(a).eqNullSafe(F.col(f"f_{a}")) for a in names]
-    kept = d.join(F.broadcast(floor), on, "left").filter(F.col("__floor").isNull() | (F.col("__bin") >= F.col("__floor")))
+    d = d.filter(F.col("score").isNotNull() & ~F.isnan("score"))
+    large = materialize(sizes(d, names, gain * n), "p5-sizes")
+    binned = d.withColumn("__bin", score_bin(F.col("score")))
+    floor = materialize(thresholds(binned, large, names, n, most), "p5-floors")
+    kept = bounded_join(binned, floor, names, [f"f_{a}" for a in names], "f_rows", "left", most)
+    kept = kept.filter(F.col("f_floor").isNull() | F.expr("shiftright(__bin, f_shift) >= f_floor"))
     best = kept.groupBy(*names, "item").agg(F.max("score").alias("score"))
     w = Window.partitionBy(*names).orderBy(F.desc("score"), F.asc_nulls_last("item"))
     ranked = best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)

@@ -34,10 +34,31 @@ def test_top_n_equals_sorting(spark):
 
 
 def test_thresholds_cut_and_never_too_deep(spark):
-    rows = [("a", i, i / 10_000) for i in range(10_000)]
-    df = spark.createDataFrame(rows, "k string, item int, score double").withColumn("__bin", topn.score_bin(F.col("score")))
-    floor = topn.thresholds(df, ["k"], "item", 5).first()["__floor"]
-    assert 5 <= df.filter(F.col("__bin") >= floor).count() < 200
+    rows = [("a", i, i / 10_000) for i in range(10_000)] + [("b", i % 3, float(i)) for i in range(500)] + [("c", i, 0.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "k0 string, item int, score double").withColumn("__bin", topn.score_bin(F.col("score")))
+    large = topn.sizes(df, ["k0"], 80)
+    assert {r.g_k0: r.g_rows for r in large.collect()} == {"a": 10_000, "b": 500}
+    (floor,) = topn.thresholds(df, large, ["k0"], 5).collect()  # b has three items only
+    assert floor.f_k0 == "a"
+    assert 5 <= df.filter((F.col("k0") == "a") & (F.shiftright("__bin", floor.f_shift) >= floor.f_floor)).count() < 500
+
+
+@pytest.mark.parametrize("n", [1, 5, 30, 100])
+@pytest.mark.parametrize("most", [1, 50_000])
+def test_thresholds_by_broadcast_and_by_shuffle(spark, n, most):
+    rng = random.Random(n)
+    rows = [(rng.choice(["a", "a", "b", "c", None, f"g{i % 40}"]), rng.choice([None, *range(150)]), round(rng.random(), 2)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "task_id string, sid int, score double").repartition(4)
+    got = {(r.task_id, r.sid, r["rank"]) for r in topn.top_n_per_group(df, ["task_id"], "score", "sid", n, gain=1, most=most).collect()}
+    assert got == plain_top(rows, n)
+
+
+def test_more_groups_with_thresholds_than_are_broadcast(spark):
+    df = spark.range(420_000).select(F.floor(F.col("id") / 7).alias("g"), F.pmod("id", F.lit(7)).cast("int").alias("i"), F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double").alias("s"))
+    got = topn.top_n_per_group(df, ["g"], "s", "i", 1, gain=4)
+    want = df.groupBy("g").agg(F.max(F.struct("s", (-F.col("i")).alias("j"))).alias("m")).select("g", (-F.col("m.j")).alias("i"))
+    assert got.count() == 60_000 and got.join(want, ["g", "i"]).count() == 60_000
+    assert "TakeOrderedAndProject" not in got._jdf.queryExecution().toString()
 
 
 def test_bins_never_fall(spark):
