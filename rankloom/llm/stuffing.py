@@ -21,9 +21,10 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rankloom.operators.skew import bounded_join
 from rankloom.session import materialize
 
 #: Share of a page's words that must be stuffing. Sentences without end marks, titles and names leave some words
@@ -54,7 +55,15 @@ TOP_PART, TOP_FUNCTION = 0.4, 0.2
 #: Share of the way from the median of the page's language to 1 that top words or duplicate lines must reach.
 BEYOND = 0.4
 
-#: Function words by language, the ones that hardly any sentence lacks. Fixed values. Chinese: by character.
+#: Words of up to so many letters that stand on such a share of a language's pages are its function words, the most
+#: frequent ones up to a number. A word of a list page stands on few other pages; what most pages share is grammar.
+FUNCTION_LETTERS, FUNCTION_PAGES, FUNCTION_MOST = 5, 0.25, 100
+#: A language with less than this part of all pages has no list of its own, so that there are at most as many lists as the
+#: inverse says, whatever is written into the column.
+LANGUAGE_PART = 0.001
+
+#: Function words by language, the ones that hardly any sentence lacks. Fixed values. Chinese: by character. All other
+#: languages' are learned from their pages.
 FUNCTION_WORDS = {
     "en": "a an the of to in on at by for and or if is are was were so that this it as with each when then not no must may will can would from than but be before after near until wants i we you he she they has have do does using their its which who what how all any there here",
     "de": "der die das den dem des ein eine einen einem eines und oder wenn ist sind nicht mit von zu zum zur im in auf für als bei bevor sobald obwohl alle jeden jede es wir sie er ich dass nach vor aus",
@@ -64,7 +73,6 @@ FUNCTION_WORDS = {
     "zh": "的 了 是 在 和 当 如 果 为 时 之 这 个 每 所 有 不 就 我 们 你 他 也 都 与",
 }
 FUNCTION = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
-EVERY = frozenset().union(*FUNCTION.values())
 
 WORD = re.compile(r"[㐀-鿿぀-ヿ]|[^\W_㐀-鿿぀-ヿ]+")
 LINK = re.compile(r"<a\b[^>]*>.*?</a>|\[[^\]\n]{0,200}\]\([^)\s]*\)|(?:https?://|www\.)[^\s<>\"')\]]+", re.I | re.S)
@@ -75,11 +83,14 @@ CLOSED = re.compile(r"[.!?…。！？:][\"')\]]*\s*$")
 SEPARATOR = re.compile(r"\s*(?:[·•|/,;、，；>»~]|\s[-–—*]\s|\t)\s*")
 ITEM = re.compile(r"^(?:[-*•]\s+|\d+[.)]\s+)?(?:(?:tags?|keywords?|products?|labels?|topics?)\s*:?\s+)?((?:[^\W\d_][\w'’-]*)(?: [^\W\d_][\w'’-]*){0,3})$", re.I)
 
+#: A word of letters as Spark's own patterns take it; each Chinese or Japanese character is one.
+SHORT = r"[㐀-鿿぀-ヿ]|[\p{L}\p{M}&&[^㐀-鿿぀-ヿ]]+"
+
 MARK = "\x00"
 
 
 def words_of(text: str) -> list[str]:
-    return [w.lower() for w in WORD.findall(text)]
+    return WORD.findall(text.lower())
 
 
 def segments(text: str) -> Iterator[tuple[str, bool, str]]:
@@ -93,8 +104,9 @@ def segments(text: str) -> Iterator[tuple[str, bool, str]]:
                 yield s, code, line.strip()
 
 
-def measure(text: str) -> dict:
-    """The signals of one page.
+def measure(text: str, own: frozenset = FUNCTION["en"], every: frozenset = frozenset().union(*FUNCTION.values())) -> dict:
+    """The signals of one page, with the function words of its language and of all languages; where the page has less than
+    half as many of its own language as of all, it isn't in that language.
 
     ``words``; those in ``links``, ``items`` (tags and short items in a row), in repeated runs outside of sentences
     (``loose``) and in sentences (``repeated``); ``prose``, the words of sentences, and ``function``, their function
@@ -116,18 +128,20 @@ def measure(text: str) -> dict:
     out = {"words": total, "links": links, "items": 0, "loose": 0, "prose": 0, "repeated": 0, "function": 0, "other": 0, "topped": 0, "again": 0, "dup_lines": 0.0, "top": 0.0, "fresh": 1.0}
     if total < LEAST_WORDS:
         return out
-    grams: Counter = Counter()
+    pairs: list[tuple] = []
     triples: list[tuple] = []
     content: Counter = Counter()
     for w, (_, code, _) in zip(tokens, parts):
         if not code:
-            content.update(x for x in w if x not in EVERY and not x[0].isdigit())
-            grams.update(zip(w, w[1:]))
+            content.update(w)
+            pairs.extend(zip(w, w[1:]))
             triples.extend(zip(w, w[1:], w[2:]))
-    grams.update(triples)
+    known = own if 2 * sum(n for x, n in content.items() if x in own) >= sum(n for x, n in content.items() if x in every) else every
+    for x in [x for x in content if x in known or x[0].isdigit()]:
+        del content[x]
+    grams = {g for c in (Counter(pairs), Counter(triples)) for g, n in c.items() if n >= 3}
     if triples:
-        windows = [triples[i : i + WINDOW] for i in range(0, len(triples), WINDOW)]
-        out["fresh"] = sum(len(set(x)) for x in windows) / len(triples)
+        out["fresh"] = sum(len(set(triples[i : i + WINDOW])) for i in range(0, len(triples), WINDOW)) / len(triples)
     lines = [x.strip() for x in text.split("\n") if x.strip()]
     out["dup_lines"] = 1 - len(set(lines)) / max(1, len(lines))
     times = Counter(x.strip() for x in rest.split("\n"))
@@ -142,47 +156,48 @@ def measure(text: str) -> dict:
         run.clear()
 
     for (s, code, line), w in zip(parts, tokens):
-        if not w:
+        n = len(w)
+        if not n:
             continue
-        fn = sum(x in EVERY for x in w)
-        digits = sum(x[0].isdigit() for x in w)
         tags = [x for m in TAG.findall(s) for x in WORD.findall(m)] if "#" in s else []
-        if len(tags) >= 0.6 * len(w):
+        if len(tags) >= 0.6 * n:
             run.extend([1] * len(tags))
-            out["other"] += len(w) - len(tags)
+            out["other"] += n - len(tags)
             continue
         if code:
             close()
-            out["other"] += len(w)
-            continue
-        pieces = SEPARATOR.split(s.strip().rstrip("."))
-        items = [ITEM.match(p) for p in pieces if p]
-        if items and sum(map(bool, items)) >= 0.8 * len(items) and fn <= 0.1 * len(w) and (len(w) <= 4 or len(items) >= 3) and not (CLOSED.search(s) and len(items) < 4):
-            run.extend([len(w) // len(items)] * (len(items) - 1) + [len(w) - (len(w) // len(items)) * (len(items) - 1)])
+            out["other"] += n
             continue
+        fn = sum(map(known.__contains__, w))
+        if fn <= 0.1 * n:
+            items = [ITEM.match(p) for p in SEPARATOR.split(s.strip().rstrip(".")) if p]
+            if items and sum(map(bool, items)) >= 0.8 * len(items) and (n <= 4 or len(items) >= 3) and not (len(items) < 4 and CLOSED.search(s)):
+                run.extend([n // len(items)] * (len(items) - 1) + [n - (n // len(items)) * (len(items) - 1)])
+                continue
         close()
-        if digits > 0.3 * len(w):
-            out["other"] += len(w)
+        if sum(x[0].isdigit() for x in w) > 0.3 * n:
+            out["other"] += n
             continue
-        covered = [False] * len(w)
-        for n in (3, 2):
-            for i in range(len(w) - n + 1):
-                if grams[tuple(w[i : i + n])] >= 3:
-                    covered[i : i + n] = [True] * n
-        hit = sum(covered)
-        closed = bool(CLOSED.search(s))
-        stutters = len(w) >= 4 and hit >= 0.6 * len(w) and len(set(w)) < 0.7 * len(w)
-        if closed and fn >= max(1, 0.08 * len(w)) and not stutters:
-            out["prose"] += len(w)
+        hit = 0
+        if grams:
+            covered = bytearray(n)
+            for size, runs in ((3, zip(w, w[1:], w[2:])), (2, zip(w, w[1:]))):
+                for i, g in enumerate(runs):
+                    if g in grams:
+                        covered[i : i + size] = b"\1" * size
+            hit = sum(covered)
+        stutters = n >= 4 and hit >= 0.6 * n and len(set(w)) < 0.7 * n
+        if not stutters and fn >= max(1, 0.08 * n) and CLOSED.search(s):
+            out["prose"] += n
             out["repeated"] += hit
             out["function"] += fn
         else:
             out["loose"] += hit
-            out["other"] += len(w) - hit
-            if fn <= TOP_FUNCTION * len(w) and sum(x in heavy for x in w) >= TOP_PART * len(w):
-                out["topped"] += len(w) - hit
+            out["other"] += n - hit
+            if fn <= TOP_FUNCTION * n and sum(map(heavy.__contains__, w)) >= TOP_PART * n:
+                out["topped"] += n - hit
             elif times[line] > 1:
-                out["again"] += len(w) - hit
+                out["again"] += n - hit
     close()
     return out
 
@@ -191,17 +206,48 @@ SHARES = ("dup_lines", "top", "fresh")
 FIELDS = ["words", "links", "items", "loose", "prose", "repeated", "function", "topped", "again", *SHARES]
 
 
-def measured(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
+def _lang(lang: str) -> Column:
+    return F.lower(F.coalesce(F.col(lang), F.lit("und")))
+
+
+def function_words(df: DataFrame, text: str, lang: str) -> dict[str, frozenset]:
+    """The function words of every language: the fixed ones, and for the other languages, counted over all their pages, those
+    that stand on many of them.
+
+    Words are counted once a page, with map-side combining. Lists are bounded (see LANGUAGE_PART and FUNCTION_MOST), so they
+    are collected. A language of fewer pages than LEAST_PAGES has none.
+    """
+    d = df.select(_lang(lang).alias("lang"), F.col(text).alias("text")).filter(F.col("text").rlike(r"\p{L}"))
+    pages = d.groupBy("lang").agg(F.count(F.lit(1)).alias("pages"))
+    pages = pages.withColumn("all", F.sum("pages").over(Window.partitionBy()))  # one row per language
+    pages = pages.filter(~F.col("lang").isin("und", *FUNCTION) & (F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= LANGUAGE_PART * F.col("all")))
+    kept = [r.lang for r in pages.select("lang").collect()]
+    if not kept:
+        return dict(FUNCTION)
+    found = F.filter(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(SHORT), F.lit(0))), lambda w: F.length(w) <= FUNCTION_LETTERS)
+    words = d.filter(F.col("lang").isin(kept)).select("lang", F.explode(found).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    words = words.join(pages, "lang").filter(F.col("n") >= FUNCTION_PAGES * F.col("pages"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    out: dict[str, set] = {}
+    for r in words.withColumn("i", first).filter(F.col("i") <= FUNCTION_MOST).select("lang", "word").collect():
+        out.setdefault(r.lang, set()).add(r.word)
+    return FUNCTION | {k: frozenset(v) for k, v in out.items()}
+
+
+def measured(df: DataFrame, key: str, text: str, lang: str, words: dict[str, frozenset]) -> DataFrame:
     """``key, lang`` (lower case, ``und`` if null) and the signals of every page; null texts have no words."""
     kind = df.select(key).dtypes[0][1]
+    lists = df.sparkSession.sparkContext.broadcast(words)  # at most 1 / LANGUAGE_PART lists of FUNCTION_MOST short words
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, none = lists.value, frozenset()
+        every = none.union(*known.values())
         for batch in batches:
-            rows = [measure(t or "") for t in batch.column(2).to_pylist()]
+            rows = [measure(t or "", known.get(x, none), every) for x, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             cols = [pa.array([r[f] for r in rows], pa.float64() if f in SHARES else pa.int64()) for f in FIELDS]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["key", "lang", *FIELDS])
 
-    d = df.select(F.col(key).alias("key"), F.lower(F.coalesce(F.col(lang), F.lit("und"))).alias("lang"), F.col(text).alias("text"))
+    d = df.select(F.col(key).alias("key"), _lang(lang).alias("lang"), F.col(text).alias("text"))
     out = ", ".join(f"{f} {'double' if f in SHARES else 'bigint'}" for f in FIELDS)
     return d.mapInArrow(work, f"key {kind}, lang string, {out}")
 
@@ -212,7 +258,7 @@ def norms(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     usual += [F.percentile_approx(F.try_divide("function", "prose"), q, 1000).alias(f"{x}_norm") for x, q in (("function", 0.1), ("functions", 0.5))]
     d = pages.filter(F.col("words") >= LEAST_WORDS)
     per = d.groupBy("lang").agg(F.count(F.lit(1)).alias("pages"), *usual).filter(F.col("pages") >= LEAST_PAGES)
-    return per.drop("pages"), d.agg(*[u.alias(f"any_{n}") for u, n in zip(usual, (*SHARES, "function", "functions"))])
+    return per, d.agg(*[u.alias(f"any_{n}") for u, n in zip(usual, (*SHARES, "function", "functions"))])
 
 
 def stuffed_pages(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
@@ -226,10 +272,10 @@ def stuffed_pages(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     Null, empty and short pages (fewer than LEAST_WORDS words) are none; every row of a page delivered again counts; a
     null or unknown language is judged by the norm over all. An empty table gives no rows. Other columns aren't read.
     """
-    pages = materialize(measured(df, key, text, lang), "pages")
+    pages = materialize(measured(df, key, text, lang, function_words(df, text, lang)), "pages")
     per, over_all = norms(pages)
-    # one row per language: broadcast if it turns out small, else a join whose large partitions adaptive execution splits
-    d = pages.join(per, "lang", "left").crossJoin(F.broadcast(over_all))
+    per = materialize(per.withColumnRenamed("lang", "of"), "norms")
+    d = bounded_join(pages, per, ["lang"], ["of"], "pages", "left").crossJoin(F.broadcast(over_all))
     fresh, function = F.coalesce("fresh_norm", "any_fresh"), F.coalesce("function_norm", "any_function")
     stutters = F.col("fresh") < STUTTER * fresh
     bare = F.coalesce(F.col("function") < 0.5 * function * F.col("prose"), F.lit(False))

@@ -258,6 +258,23 @@ def test_keyword_phrases_with_full_stops(spark):
     assert english(spark, pages) == {"phrases", "varied"}
 
 
+SWAHILI = ["Mtu huyu ni wa kwanza kwa sababu {} yake na {} ya watu ni kubwa.", "Kama {} ni nzuri, basi {} ya mji na kijiji ni bora kwa watu wa hapa.", "Watoto wa {} na wazee ya {} ni hapa kwa siku ya leo na kesho."]
+
+
+def test_a_language_without_a_list_learns_its_function_words(spark):
+    rng = random.Random(5)
+    name = lambda: "".join(rng.choice("bkmpst") + rng.choice("aeiou") for _ in range(4))
+    prose = [" ".join(rng.choice(SWAHILI).format(name(), name()) for _ in range(8)) for _ in range(60)]
+    spam = [" ".join(rng.choice(("nunua", "simu", "bei", "rahisi", "gari")) for _ in range(120)), "\n".join(" ".join(name() for _ in range(3)) for _ in range(30))]
+    rows = [(i, t, "sw") for i, t in enumerate(prose)] + [(100 + i, t, "SW") for i, t in enumerate(spam)] + [(200, "x y", "xx")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    words = stuffing.function_words(df, "text", "lang")
+    assert {"ni", "wa", "ya", "na", "kwa"} <= words["sw"] and "simu" not in words["sw"] and "xx" not in words and words["en"] == stuffing.FUNCTION["en"]
+    pages = stuffing.measured(df, "doc_id", "text", "lang", words).filter("key < 100")
+    assert pages.filter("prose = words").count() == 60
+    assert {r.doc_id for r in stuffing.stuffed_pages(df, "doc_id", "text", "lang").collect()} == {100, 101}
+
+
 HEAD = "class Queue:\n    def __init__(self):\n        self.items = []\n\n"
 
 
