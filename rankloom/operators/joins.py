@@ -63,6 +63,13 @@ def missing_cells(measured: DataFrame, dims: Sequence[str]) -> DataFrame:
     return values.join(measured.select(*dims).distinct(), list(dims), "left_anti")
 
 
+def serialized(samples: DataFrame, keys: Sequence[str], fields: Sequence[str], order: str) -> DataFrame:
+    """Samples as one row for each prompt: ``predictions``, an array of records in the order of generation, and ``row_id``."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("__o"), F.struct(*fields).alias("__v"))))
+    out = samples.groupBy(*keys).agg(F.transform(listed, lambda x: x["__v"]).alias("predictions"))
+    return out.withColumn("row_id", F.pmod(F.xxhash64(*keys), F.lit(1 << 31)).cast("int"))
+
+
 def repeated_prompts(prompts: DataFrame, times: int) -> DataFrame:
     """Each prompt ``times`` times with ``rep``."""
     return prompts.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))

@@ -56,7 +56,8 @@ def completed_outcomes(df: DataFrame) -> DataFrame:
 
 
 def tests_by_type(test_types: Column) -> dict[str, Column]:
-    return {name: F.size(F.filter(test_types, lambda x, k=k: x == k)) for k, name in enumerate(("public", "private", "generated"))}
+    of = lambda k: F.size(F.filter(test_types, lambda x: x == k))
+    return {name: of(k) for k, name in enumerate(("public", "private", "generated"))}
 
 
 def elapsed(timing: Column) -> Column:
@@ -76,10 +77,15 @@ def problem_record(predictions: Column) -> dict[str, Column]:
     return {"solutions": with_positions(predictions), "num_passed": count("passed"), "num_passed_public": count("passed_public"), "num_passed_plus": count("passed_plus")}
 
 
-def scored_record(df: DataFrame) -> DataFrame:
-    """The columns of a scored candidate, pruned ones with score -infinity and time 0."""
-    cols = ["task_id", "sid", "completion_id", "score", "score_time", "passed", "passed_public", "passed_plus", "logprob", "num_tests_passed", "count", "filtered_out"]
-    return df.select(*[F.col(c) if c in df.columns else F.lit(False if c == "filtered_out" else None).alias(c) for c in cols])
+#: The columns of a scored candidate. Fixed values.
+SCORED = ("task_id", "sid", "completion_id", "score", "score_time", "passed", "passed_public", "passed_plus", "logprob", "num_tests_passed", "count")
+
+
+def scored_record(df: DataFrame, pruned: bool = False) -> DataFrame:
+    """The columns of a scored candidate, missing ones null; pruned candidates have score -infinity and time 0 and are marked."""
+    fixed = {"score": float("-inf"), "score_time": 0.0} if pruned else {}
+    cols = [F.lit(fixed[c]) if c in fixed else F.col(c) if c in df.columns else F.lit(1 if c == "count" else None) for c in SCORED]
+    return df.select(*[x.alias(c) for c, x in zip(SCORED, cols)], F.lit(pruned).alias("filtered_out"))
 
 
 def with_split(df: DataFrame, **literals: object) -> DataFrame:

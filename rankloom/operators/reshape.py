@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,6 +67,11 @@ def flatten_structs(df: DataFrame, sep: str = ".") -> DataFrame:
     return df.select(*walk(df.schema, "", ""))
 
 
+def concatenated(parts: Sequence[DataFrame]) -> DataFrame:
+    """The rows of all parts, by column name; a column that a part lacks is null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def missing_members(have: Column, expected: Column) -> Column:
     """What is expected and not there."""
     return F.array_except(expected, have)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import file_shard, file_task, renamed_setup
@@ -37,10 +37,12 @@ def predictions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tree(spark: SparkSession, root: str, record: str, pattern: str = "*.jsonl.gz") -> DataFrame:
-    """Files in folders ``root/model/setup/file``, with ``model, setup, task`` from their paths."""
+    """Files in folders ``root/model/setup/file``, plain or named as partitions are, with ``tree_model, tree_setup, task`` from
+    their paths."""
     d = spark.read.schema(schema(record)).option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).json(root)
     parts = F.split(F.col("_metadata.file_path"), "/")
-    return d.select("*", F.element_at(parts, -3).alias("tree_model"), F.element_at(parts, -2).alias("tree_setup"), file_task(F.col("_metadata.file_path")).alias("task"))
+    folder = lambda i: F.regexp_replace(F.element_at(parts, i), "^[^=]*=", "")
+    return d.select("*", folder(-3).alias("tree_model"), folder(-2).alias("tree_setup"), file_task(F.col("_metadata.file_path")).alias("task"))
 
 
 def shards(spark: SparkSession, path: str) -> DataFrame:
@@ -78,10 +80,15 @@ def execution_problems(spark: SparkSession, path: str) -> DataFrame:
     return jsonl(spark, path, "execution_problem")
 
 
-#: Benchmarks by name: how their rows become ``task_id, query`` with what else the benchmark has.
+#: Benchmarks by name: how their rows become ``task_id, query, tests`` with what else the benchmark has. ``query`` is what is
+#: asked: with the assertions where the benchmark shows them.
 _BENCHMARKS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
 
+def _none() -> Column:
+    return F.array().cast("array<string>").alias("tests")
+
+
 def benchmark(name: str) -> Callable:
     """Register a benchmark's projection."""
 
@@ -94,22 +101,22 @@ def benchmark(name: str) -> Callable:
 
 @benchmark("code_contests")
 def _contests(d: DataFrame) -> DataFrame:
-    return d.select(F.concat_ws("/", F.lit("code_contests"), F.col("idx")).alias("task_id"), F.col("description").alias("query"), *[c for c in d.columns if c not in ("description", "idx")])
+    return d.select(F.concat_ws("/", F.lit("code_contests"), F.col("idx")).alias("task_id"), F.col("description").alias("query"), _none(), *[c for c in d.columns if c not in ("description", "idx")])
 
 
 @benchmark("gsm8k")
 def _gsm8k(d: DataFrame) -> DataFrame:
-    return d.select(F.concat_ws("/", F.lit("gsm8k"), F.col("idx")).alias("task_id"), F.col("question").alias("query"), "answer")
+    return d.select(F.concat_ws("/", F.lit("gsm8k"), F.col("idx")).alias("task_id"), F.col("question").alias("query"), _none(), "answer")
 
 
 @benchmark("mbpp")
 def _mbpp(d: DataFrame) -> DataFrame:
-    return d.select("task_id", F.col("prompt").alias("query"), "entry_point")
+    return d.select("task_id", F.concat_ws("\n", "prompt", "test_list").alias("query"), F.col("test_list").alias("tests"), "entry_point")
 
 
 @benchmark("humaneval")
 def _humaneval(d: DataFrame) -> DataFrame:
-    return d.select("task_id", F.col("prompt").alias("query"), "entry_point")
+    return d.select("task_id", F.col("prompt").alias("query"), F.array("test").alias("tests"), "entry_point")
 
 
 def load_benchmark(df: DataFrame, name: str) -> DataFrame:

@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankloom.operators.reshape import concatenated
+
 
 def jsonl(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).option("compression", "gzip").json(path)
 
 
 def partitioned(df: DataFrame, path: str, by: Sequence[str] = ("model", "setup", "dataset"), mode: str = "error") -> None:
-    """One folder per value of the columns; rows are brought together first, so that a folder has few files."""
-    df.repartition(*by, F.pmod(F.xxhash64(*df.columns[:1]), F.lit(8))).write.mode(mode).partitionBy(*by).parquet(path)
+    """One folder per value of the columns; rows are brought together first, so that a folder has few files. The exchange is one
+    that adaptive execution may split, so that a cell with most rows is written by as many tasks as it needs."""
+    df.hint("rebalance", *by).write.mode(mode).partitionBy(*by).parquet(path)
 
 
 def sharded(df: DataFrame, path: str, rows: int = 1000, mode: str = "error") -> None:
@@ -32,16 +34,24 @@ def csv(df: DataFrame, path: str, compressed: bool = True, mode: str = "error")
     df.write.mode(mode).option("header", "true").option("compression", "gzip" if compressed else "none").csv(path)
 
 
-def metrics_json(long: DataFrame, path: str, task: str = "task", metric: str = "metric", value: str = "value", most: int = 100_000) -> dict:
+def text_file(spark: SparkSession, path: str, text: str) -> None:
+    """A small document on whatever file system the path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def metrics_json(spark: SparkSession, long: DataFrame, path: str, task: str = "task", metric: str = "metric", value: str = "value", most: int = 100_000) -> dict:
     """A report's metrics as one JSON object, ``task/metric`` to value, sorted by key. Reports are small; more than ``most``
     entries are an error."""
     rows = long.select(task, metric, value).limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError("too many metrics for one document")
     out = {f"{r[0]}/{r[1]}": r[2] for r in sorted(rows, key=lambda r: (r[0], r[1]))}
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w") as f:
-        json.dump(out, f, indent=2)
+    text_file(spark, path, json.dumps(out, indent=2))
     return out
 
 
@@ -57,8 +67,5 @@ def problem_scores(df: DataFrame, path: str, mode: str = "error") -> DataFrame:
 
 def splits(parts: dict[str, DataFrame], path: str, mode: str = "error") -> None:
     """Datasets as the splits of one saved dataset."""
-    out = None
-    for name, d in parts.items():
-        d = d.withColumn("split", F.lit(name))
-        out = d if out is None else out.unionByName(d, allowMissingColumns=True)
+    out = concatenated([d.withColumn("split", F.lit(name)) for name, d in parts.items()])
     out.write.mode(mode).partitionBy("split").parquet(path)

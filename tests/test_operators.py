@@ -213,7 +213,7 @@ def test_files_there_and_back(spark, tmp_path):
     writers.trial(d, str(tmp_path / "run"), 1)
     d.write.parquet(f"{tmp_path}/run/results.parquet")
     assert readers.trial_results(spark, str(tmp_path / "run")).count() == 4
-    assert writers.metrics_json(spark.createDataFrame([("b", "y", 2.0), ("a", "x", 1.0)], "task string, metric string, value double"), f"{tmp_path}/m.json") == {"a/x": 1.0, "b/y": 2.0}
+    assert writers.metrics_json(spark, spark.createDataFrame([("b", "y", 2.0), ("a", "x", 1.0)], "task string, metric string, value double"), f"{tmp_path}/m.json") == {"a/x": 1.0, "b/y": 2.0}
     row = writers.problem_scores(d, f"{tmp_path}/p").first()
     assert [s.sid for s in row.solutions] == [1, 0] and row.time_mean == pytest.approx(0.2)
     writers.splits({"train": d, "validation": d.limit(1)}, f"{tmp_path}/ds")
