@@ -54,11 +54,11 @@ def signed(df: DataFrame, k: int) -> DataFrame:
                 i, h, size, tokens, sketch = signatures(texts, k)
                 if not len(i):
                     continue
-                raw = np.ascontiguousarray(h).tobytes()
+                ends = np.arange(0, 16 * len(i) + 1, 16, dtype=np.int32)
                 cols = [
                     part.column(0).take(pa.array(i)),
                     part.column(1).take(pa.array(i)),
-                    pa.array([raw[x : x + 16] for x in range(0, len(raw), 16)], pa.binary()),
+                    pa.Array.from_buffers(pa.binary(), len(i), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(h))]),
                     pa.array(size),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, tokens.size + 1, TOKENS, dtype=np.int32)), pa.array(tokens.reshape(-1))),
                     *[pa.array(np.ascontiguousarray(sketch[:, x])) for x in range(SKETCH)],

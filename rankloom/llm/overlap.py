@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.chosen_path import RUNS, candidates, sized, verified
 from rankloom.llm.minwise import signed
-from rankloom.operators.skew import hot_split_join
+from rankloom.operators.skew import bounded_join, hot_split_join
 from rankloom.session import materialize
 
 EVALUATION, TRAIN = 0, 1
@@ -83,10 +83,20 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.least("eval_id", "train_id").alias("key_a"), F.greatest("eval_id", "train_id").alias("key_b"))
 
 
+def per_record(matches: DataFrame, copies: DataFrame) -> DataFrame:
+    """``eval_id, best, pairs`` of every evaluation record with a match, from the sizes of the sets of copies: their pairs are
+    counted, not made."""
+    sizes = materialize(copies.groupBy("rep").agg(F.count(F.lit(1)).alias("more")), "copy-counts")
+    per = matches.join(sizes.withColumnRenamed("rep", "b"), "b", "left").groupBy("a").agg(F.max("likeness").alias("best"), F.sum(F.coalesce("more", F.lit(0)) + 1).alias("pairs"))
+    per = materialize(per.join(sizes.withColumnRenamed("rep", "a"), "a", "left").withColumn("more", F.coalesce("more", F.lit(0))), "matched")
+    others = bounded_join(copies, per, ["rep"], ["a"], "more")
+    return others.select(F.col("id").alias("eval_id"), "best", "pairs").unionByName(per.select(F.col("a").alias("eval_id"), "best", "pairs"))
+
+
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per evaluation split and source: its records, those found in the training split, equal and nearly equal, and pairs."""
     d, found, copies = _matches(spark, sf_dir)
-    per = expanded(found, copies).groupBy("eval_id").agg(F.max("likeness").alias("best"), F.count(F.lit(1)).alias("pairs"))
+    per = per_record(found, copies)
     base = d.filter(F.col("split").isin("validation", "test")).select("split", "source", F.col("problem_key").alias("eval_id"))
     out = base.join(per, "eval_id", "left").groupBy("split", "source")
     return out.agg(

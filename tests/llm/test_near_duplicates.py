@@ -146,3 +146,61 @@ def test_trees_suffice_at_every_level():
     for t in (0.5, 0.6, 0.8, 0.9):
         roots = len(CP.root_places(t, CP.trees_for(t)))
         assert all(CP.missed(t, roots, level) <= 1e-4 for level in range(1, CP.LEVELS + 1))
+
+
+def union_find(pairs):
+    up: dict = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    return {x: find(x) for x in list(up)}
+
+
+def test_components_equal_union_find(spark):
+    rng = random.Random(9)
+    pairs = [(i, i + 1) for i in range(200)] + [(1000, 1001 + i) for i in range(300)] + [(rng.randrange(2000, 2300), rng.randrange(2300, 2600)) for _ in range(250)]
+    links = spark.createDataFrame(pairs, "a bigint, b bigint")
+    assert {r.id: r.label for r in CP.components(links).collect()} == union_find(pairs)
+    assert CP.components(links.limit(0)).count() == 0
+
+
+def groups_of(spark, rows):
+    df = spark.createDataFrame(rows, "k bigint, t string")
+    links, copies = CP.near_duplicates(df, "k", "t", k=3, threshold=0.6, groups_only=True)
+    links = CP.materialize(links, "links")
+    found = {r.id: r.label for r in CP.components(links).collect()}
+    found |= {r.id: found.get(r.rep, r.rep) for r in copies.collect()} | {r.rep: found.get(r.rep, r.rep) for r in copies.collect()}
+    return found, links
+
+
+def test_groups_by_hubs_equal_those_of_all_links(spark, monkeypatch):
+    monkeypatch.setattr(CP, "SMALL_NODE", 8)
+    for rows in (family(42, 35, 24, 12, 20), family(102, 0, 32, 1, 200), list(enumerate(corpus(5, 40))) + [(900 + i, corpus(5, 1)[0].upper()) for i in range(3)]):
+        found, _ = groups_of(spark, rows)
+        assert found == union_find(brute(rows))
+
+
+def test_a_node_of_many_near_alike_texts_ends(spark):
+    """Variants of one page cost a comparison each, not one a pair."""
+    n = 20_000
+    page = F.concat_ws(" ", *[F.lit(f"w{i}") for i in range(40)], F.concat(F.lit("v"), "k"), *[F.lit(f"z{i}") for i in range(40)])
+    df = spark.range(n).select(F.col("id").alias("k")).withColumn("t", page)
+    links, _ = CP.near_duplicates(df, "k", "t", k=3, threshold=0.6, groups_only=True)
+    links = CP.materialize(links, "links")
+    assert n - 1 <= links.count() < 3 * n
+    assert CP.components(links).agg(F.count_distinct("label"), F.count(F.lit(1))).first() == (1, n)
+
+
+def test_large_sets_of_copies_are_paired_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(CP, "SMALL_NODE", 3)
+    copies = spark.createDataFrame([(i, 0) for i in range(1, 20)] + [(31, 30)], "id bigint, rep bigint")
+    links = spark.createDataFrame([(0, 30)], "a bigint, b bigint")
+    got = [(r.key_a, r.key_b) for r in CP.expanded(links, copies).collect()]
+    everyone = [*range(20), 30, 31]
+    assert sorted(got) == sorted((a, b) for a in everyone for b in everyone if a < b)
