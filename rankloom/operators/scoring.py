@@ -5,6 +5,7 @@ A model is any callable over Arrow batches; everything around it is arithmetic o
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from rankloom.functions import arrays as A
+from rankloom.operators.batching import packed
 
 
 class Scorer(Protocol):
@@ -93,6 +95,39 @@ def scorer(name: str) -> Callable:
     return SCORERS[name]
 
 
+def score_in_batches(df: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], outputs: str, length: str, key: str, budget: int, multiple: int = 8, partitions: int | None = None, setup: Callable | None = None) -> DataFrame:
+    """``df`` with ``part``, ``batch``, the model's ``outputs`` (DDL) and ``score_time``, the seconds of the row's batch.
+
+    Rows are packed by length into batches of at most ``budget`` padded tokens (``operators.batching``), and the model is called
+    once for each, in the order of falling lengths; ``setup`` makes the model in each worker. Each row has its whole batch's
+    time, as published. A model must give one row for each row it gets; rows without a length count as of length 0.
+    """
+    d = packed(df.withColumn(length, F.coalesce(F.col(length).cast("bigint"), F.lit(0).cast("bigint"))), length, key, budget, multiple, partitions)
+    more = StructType.fromDDL(outputs)
+    schema = StructType([*d.schema.fields, *more.fields, StructField("score_time", DoubleType())])
+
+    def scored(rows: pd.DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame]) -> pd.DataFrame:
+        began = time.perf_counter()
+        got = run(rows)
+        took = time.perf_counter() - began
+        if len(got) != len(rows):
+            raise ValueError(f"the model gave {len(got)} rows for {len(rows)}")
+        return rows.assign(**{n: got[n].to_numpy() for n in more.names}, score_time=took)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, held = setup() if setup else model, None  # the last batch of an Arrow batch may go on in the next
+        for b in batches:
+            b = b if held is None else pd.concat([held, b], ignore_index=True)
+            last = b["batch"].iloc[-1] if len(b) else None
+            held = b[b["batch"] == last]
+            for _, rows in b[b["batch"] != last].groupby("batch", sort=True):
+                yield scored(rows, run)
+        if held is not None and len(held):
+            yield scored(held, run)
+
+    return d.mapInPandas(work, schema)
+
+
 def score_with_model(df: DataFrame, model: Callable[[pd.DataFrame], pd.Series], score: str = "score", setup: Callable | None = None) -> DataFrame:
     """``df`` with ``score`` from an opaque model, called once per Arrow batch; ``setup`` makes the model in each worker."""
     schema = StructType([*[f for f in df.schema.fields if f.name != score], StructField(score, DoubleType())])

@@ -47,9 +47,23 @@ def token_ids(df: DataFrame, text: str, ids: str, setup: Callable[[], Encode] =
     return df.withColumn(ids, F.pandas_udf(work, "array<int>")(F.col(text)))
 
 
-def truncated_text(text: Column, n: int) -> Column:
-    """The first ``n`` words of a text, separated by single spaces as they are counted."""
-    return F.array_join(F.slice(F.split(text, " "), 1, n), " ")
+def byte_decoder(ids: list[list[int]]) -> list[str]:
+    """The text of whole characters among the bytes."""
+    return [bytes(x).decode("utf-8", "ignore") for x in ids]
+
+
+def truncated_text(text: Column, n: int, encode: Encode = byte_encoder, decode: Callable[[list[list[int]]], list[str]] = byte_decoder) -> Column:
+    """The text of the first ``n`` tokens; a text of no more stays as it is, a null one null."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        known = s[s.notna()].tolist()
+        ids = encode(known)
+        short = iter(decode([x[:n] for x in ids]))
+        cut = iter([t if len(x) <= n else c for t, x, c in zip(known, ids, short)])
+        return pd.Series([None if v is None else next(cut) for v in s.where(s.notna(), None)], dtype=object)
+
+    return run(text)
 
 
 def causal_rows(df: DataFrame, prompt: str, completion: str, bos: int | None, eos: int | None, longest: int) -> DataFrame:

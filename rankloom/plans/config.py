@@ -9,10 +9,27 @@ from rankloom.functions.text import dataset_dir_name
 from rankloom.operators.filters import stage_column
 
 DATASETS = ("code_contests", "gsm8k", "mbpp", "humaneval")
+#: Those with tests to run.
+EXECUTED = ("humaneval", "mbpp", "code_contests")
 #: Stages for which flags are built.
-KNOWN_STAGES = ("is_valid_syntax", "has_no_lint_errors", "e3s1t", "e3s3t", "e3s10t")
+KNOWN_STAGES = ("is_valid_syntax", "has_no_lint_errors", "e3s1t", "e3s2t", "e3s3t", "e3s4t", "e3s5t", "e3s10t")
 SEEDS = (1, 1999, 2024)
 
+#: The worked examples of the suites with two shots: problem, program and outcome. Fixed values.
+TWO_SHOTS = (
+    (
+        "Write a function that counts the occurrences of elements in an array.\nassert count_unique([1, 3, 1, 2, 2, 2]) == {1: 2, 3: 1, 2: 3}",
+        "def count_unique(arr):\n    return {i: arr.count(i) for i in set(arr)}",
+        True,
+    ),
+    (
+        "Write a function to round the given number to the nearest multiple of 10.\n>>> nearest_multiple_10('29')\n30\n>>> nearest_multiple_10('15')\n10",
+        "def nearest_multiple_10(num: str):\n    \"\"\" Write a function to round the given number to the nearest multiple of 10.\n    >>> nearest_multiple_10('29')\n    30\n"
+        "    >>> nearest_multiple_10('15')\n    10\n    \"\"\"\n    num = int(num)\n    return (num + 5) // 10 * 10",
+        False,
+    ),
+)
+
 
 @dataclass(frozen=True)
 class TaskConfig:
@@ -32,6 +49,7 @@ class EvalSuite:
     remove_timeouts: bool = False
     clean_solutions: bool = False
     remove_comments: bool = False
+    rstrip_query: bool = False
     ks: tuple[int, ...] = (4, 16, 64)
 
     def __post_init__(self) -> None:
@@ -50,10 +68,11 @@ SUITES: Mapping[str, EvalSuite] = {
         EvalSuite("zero_shot"),
         EvalSuite("zero_shot_syntax", filter_stage="is_valid_syntax"),
         EvalSuite("zero_shot_lint", filter_stage="has_no_lint_errors"),
-        EvalSuite("zero_shot_3s1t", filter_stage="execute_3s1t"),
-        EvalSuite("zero_shot_3s3t", filter_stage="execute_3s3t"),
-        EvalSuite("zero_shot_3s10t", filter_stage="execute_3s10t"),
-        EvalSuite("debug", tasks=(TaskConfig("mbpp"),), filter_stage="is_valid_syntax"),
+        EvalSuite("zero_shot_3s1t", tasks=tuple(TaskConfig(d) for d in EXECUTED), filter_stage="execute_3s1t"),
+        *(EvalSuite(f"zero_shot_3s{n}t", tasks=tuple(TaskConfig(d) for d in EXECUTED), filter_stage=f"execute_3s{n}t") for n in (2, 3, 4, 5, 10)),
+        EvalSuite("two_shot", tasks=tuple(TaskConfig(d, icl_examples=TWO_SHOTS) for d in DATASETS)),
+        EvalSuite("debug", tasks=(TaskConfig("mbpp"),)),
+        EvalSuite("debug_filter", tasks=(TaskConfig("humaneval"),), filter_stage="execute_3s1t"),
     )
 }
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rankloom.plans import ranking_queries, relational_queries, source_queries, text_queries, training_queries
+from rankloom.plans import evaluation_queries, ranking_queries, relational_queries, source_queries, text_queries, training_queries
 
-_MODULES = (ranking_queries, relational_queries, text_queries, training_queries, source_queries)
+_MODULES = (ranking_queries, relational_queries, text_queries, training_queries, source_queries, evaluation_queries)
 
 
 def queries() -> dict:

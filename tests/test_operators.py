@@ -1,8 +1,10 @@
 """Dedup, trials, reshaping, sampling, packing, joins, sources and streams on small tables."""
 
 import os
+import sys
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,8 +22,9 @@ from rankloom.operators import sampling as S
 from rankloom.operators import scoring as SC
 from rankloom.operators import skew
 from rankloom.operators import trials as TR
-from rankloom.plans.config import SUITES, EvalSuite, ScoringConfig
-from rankloom.plans.suite import run_suite, suite_report
+from rankloom.plans.config import SUITES, EvalSuite, PreprocessorConfig, RunConfig, ScoringConfig, TaskConfig
+from rankloom.plans import training as TN
+from rankloom.plans.suite import Model, evaluate, run_suite, suite_report
 from rankloom.session import materialize
 from rankloom.sources import readers, writers
 from rankloom.streaming import trials as ST
@@ -191,17 +194,87 @@ def test_programs_run_with_limits(spark):
 
 def test_suites(spark):
     with pytest.raises(ValueError):
-        EvalSuite("x", filter_stage="execute_3s2t")
+        EvalSuite("x", filter_stage="execute_3s7t")
     with pytest.raises(ValueError):
         ScoringConfig(mask_query=True, mask_problem=True)
     c = spark.createDataFrame([("mbpp/1", i, "mbpp", 0.1 * i, 0.1, i == 2, 1) for i in range(4)], "task_id string, sid int, dataset string, score double, score_time double, passed boolean, count int")
     f = c.select("task_id", "sid", (F.col("sid") != 3).alias("is_valid_syntax"), F.lit(False).alias("is_valid_syntax_timeout"))
-    d = run_suite(c, f, SUITES["debug"])
+    one = EvalSuite("one", tasks=(TaskConfig("mbpp"),), filter_stage="is_valid_syntax")
+    d = run_suite(c, f, one)
     assert d.count() == 4 and d.filter("filtered_out").first().score == float("-inf")
-    rep = {r.metric: r.value for r in suite_report(d, SUITES["debug"]).collect()}
+    rep = {r.metric: r.value for r in suite_report(d, one).collect()}
     assert rep["top1"] == 100.0 and rep["pruned"] == 1.0
 
 
+def test_suites_of_the_settings():
+    assert {"zero_shot", "two_shot", "debug", "debug_filter", "zero_shot_syntax", "zero_shot_lint", *(f"zero_shot_3s{n}t" for n in (1, 2, 3, 4, 5, 10))} == set(SUITES)
+    assert all(len(t.icl_examples) == 2 for t in SUITES["two_shot"].tasks) and SUITES["debug"].filter_stage is None
+
+
+def test_an_evaluation_from_candidates_to_files(spark, tmp_path):
+    """Cleaned, rendered with the task's example, filtered before scoring, scored in batches, reported and written."""
+    rows = [("humaneval/1", 0, "humaneval", "x = 1  # one", True, 1), ("humaneval/1", 1, "humaneval", "x=2", False, 2), ("humaneval/1", 2, "humaneval", "bad (", False, 1), ("mbpp/1", 0, "mbpp", "y  =  3", True, 1), ("gsm8k/1", 0, "gsm8k", "z", True, 1)]
+    c = spark.createDataFrame(rows, "task_id string, sid int, dataset string, solution string, passed boolean, count int")
+    f = c.select("task_id", "sid", (F.col("sid") != 2).alias("is_valid_syntax"), F.lit(False).alias("is_valid_syntax_timeout"))
+    t = spark.createDataFrame([("humaneval/1", "def f():\n    'Add.'", "Add."), ("mbpp/1", "Sum it up, please.", None)], "task_id string, problem string, docstring string")
+    times = spark.createDataFrame([("g", "s", "mbpp", "is_valid_syntax", 2.0), ("g", "s", "mbpp", "is_valid_syntax", 4.0), ("g", "other", "mbpp", "is_valid_syntax", 9.0)], "generator string, sampling_setup string, dataset string, filter_name string, time double")
+    tasks = (TaskConfig("humaneval", remove_comments=True, icl_examples=(("P", "C", True),)), TaskConfig("mbpp"))
+    s = EvalSuite("s", tasks=tasks, filter_stage="is_valid_syntax", rstrip_query=True, ks=(1,))
+    seen = []
+
+    def run(b):
+        assert b["batch"].nunique() == 1 and len(b) * (b["query_tokens"].max() + 8 - b["query_tokens"].max() % 8) <= 4096 or len(b) == 1
+        return pd.DataFrame({"value": [float(len(q)) for q in b["query"]], "text": list(b["query"])})
+
+    cfg = RunConfig("g", "s", s, ScoringConfig("reward_model", 4096), PreprocessorConfig(max_problem_tokens=6))
+    model = Model(run, "value double, text string", ("value",))
+    done, report = evaluate(c, t, cfg, model, f, times, folder=f"{tmp_path}/out")
+    got = {(r.task_id, r.sid): r for r in done.collect()}
+    assert set(got) == {("humaneval/1", 0), ("humaneval/1", 1), ("humaneval/1", 2), ("mbpp/1", 0)}
+    assert got["humaneval/1", 2].filtered_out and got["humaneval/1", 2].score == float("-inf") and got["humaneval/1", 2].score_time == 0
+    want = "# Example 1:\n# Question\nP\n\n# Proposed Solution\n```python\nC\n```\n# Is the solution correct (Answer [Yes]/[No])?\n[Yes]\n\n# Example 2:\n# Question\nAdd.\n\n# Proposed Solution\n```python\nx = 1\n```"
+    assert got["humaneval/1", 0].score == len(want) and got["humaneval/1", 0].score_time >= 0
+    assert got["mbpp/1", 0].score == len("# Question\nSum it\n\n# Proposed Solution\n```python\ny  =  3\n```")
+    rep = {(r.dataset, r.metric): r.value for r in report.collect()}
+    assert rep["mbpp", "filtering"] == 3.0 and rep["humaneval", "pruned"] == 1.0 and rep["humaneval", "top1"] == 100.0
+    doc = readers.document(spark, f"{tmp_path}/out/overall.json")
+    assert doc["mbpp/filtering"] == 3.0 and list(doc) == sorted(doc) and not seen
+    assert spark.read.json(f"{tmp_path}/out/results").count() == 4
+
+
+def test_batches_go_on_over_arrow_batches(spark):
+    df = spark.range(50).select("id", F.lit(3).alias("n")).coalesce(1)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = SC.score_in_batches(df, lambda b: pd.DataFrame({"size": [len(b)] * len(b)}), "size bigint", "n", "id", 80, 8, partitions=1).toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert len(got) == 50 and (got["size"] == 10).all() and got.batch.nunique() == 5 and (got.groupby("batch").score_time.nunique() == 1).all()
+
+
+def test_trials_are_run_written_and_aggregated(spark, tmp_path):
+    df = spark.createDataFrame([("a", 0, "x = 1"), ("a", 1, "x ="), ("b", 0, None)], "task_id string, sid int, solution string")
+    calls = str(tmp_path / "calls")
+
+    def odd(programs):  # passes in the first trial only
+        with open(calls, "a") as f:
+            f.write("x" * bool(programs))
+        first = len(open(calls).read()) <= 1
+        return [(first, False, False, 0, 9.5, 0.25) for _ in programs]
+
+    got = {(r.task_id, r.sid): r for r in TN.run_trials(df, TN.syntax_stage, 2, str(tmp_path / "syntax")).collect()}
+    assert got["a", "0"].passed and not got["a", "1"].passed and not got["b", "0"].passed and all(r.trials == 2 and r.passed_vals is None for r in got.values())
+    one = TN.run_trials(df.limit(1).coalesce(1), odd, 2, str(tmp_path / "odd")).first()
+    assert one.passed_vals == "True:1|False:1" and one.execution_time == 0.25 and one.execution_time_std == 0.0
+    assert readers.trial_results(spark, str(tmp_path / "odd")).count() == 2
+    fake = tmp_path / "lint.py"
+    fake.write_text("import sys\nt = open(sys.argv[1]).read()\nprint('x.py:1:0: E0001: no' if 'bad' in t else 'ok')\nprint('rated at 8.50/10')\n")
+    stage = TN.lint_stage((sys.executable, str(fake)))
+    assert [(x[0], x[4]) for x in stage(["fine", "bad", None])] == [(True, 8.5), (False, 8.5), (False, 8.5)]
+    assert [x[:4] for x in TN.lint_stage(("no-such-linter",))(["fine"])] == [(False, False, True, 127)]
+
+
 def test_files_there_and_back(spark, tmp_path):
     d = spark.createDataFrame([("t/1", 0, 0, 0.5, 0.1, True, None, None, -1.0, 1, 1, False), ("t/1", 1, 1, 0.7, 0.3, False, None, None, -1.0, 1, 1, False)], readers.schema("scored"))
     writers.jsonl(d, f"{tmp_path}/m/s/t.raw.jsonl.gz")
