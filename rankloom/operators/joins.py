@@ -41,26 +41,34 @@ def not_in(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return df.join(keys.select(key), key, "left_anti")
 
 
-def config_grid(measured: DataFrame, dims: Sequence[str]) -> DataFrame:
-    """The cells of the grid of all values of ``dims`` that exist in ``measured``, each once. The grid of the dimensions' few
-    values is only the frame of reference: cells that don't exist are dropped at once, so it is never built."""
-    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in dims])
-    return measured.filter(known).select(*dims).distinct()
-
-
 #: Most cells of a grid of settings.
 MOST_CELLS = 1_000_000
 
 
-def missing_cells(measured: DataFrame, dims: Sequence[str]) -> DataFrame:
-    """The cells of the grid that don't exist. The dimensions are settings; a grid of more than MOST_CELLS is an error."""
+def config_grid(measured: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """All cells of the grid of the dimensions' values, with ``exists``: whether ``measured`` has rows of the cell. Rows with a null
+    in a dimension are of no cell. The dimensions are settings; a grid of more than MOST_CELLS is an error."""
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in dims])
+    measured = measured.filter(known)
     sizes = measured.agg(*[F.count_distinct(c).alias(c) for c in dims]).first()
     if math.prod(sizes) > MOST_CELLS:
         raise ValueError(f"a grid of {math.prod(sizes)} cells")
     values = measured.agg(*[F.collect_set(c).alias(c) for c in dims])
     for c in dims:
         values = values.withColumn(c, F.explode(c))
-    return values.join(measured.select(*dims).distinct(), list(dims), "left_anti")
+    there = measured.select(*dims).distinct().withColumn("exists", F.lit(True))
+    return values.join(there, list(dims), "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
+
+
+def missing_cells(measured: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """The cells of the grid that don't exist."""
+    return config_grid(measured, dims).filter("not exists").drop("exists")
+
+
+def stage_times(timings: DataFrame, key: Sequence[str], time: str = "time") -> DataFrame:
+    """The mean time of every cell of the grid of ``key``, by lookup: null where it was never measured."""
+    per = timings.groupBy(*key).agg(F.avg(time).alias(time))
+    return config_grid(timings, key).drop("exists").join(per, list(key), "left")
 
 
 def serialized(samples: DataFrame, keys: Sequence[str], fields: Sequence[str], order: str) -> DataFrame:

@@ -31,16 +31,21 @@ def partition_array(array: Column, keep) -> tuple[Column, Column]:
     return F.filter(array, keep), F.filter(array, lambda x: ~F.coalesce(keep(x), F.lit(False)))
 
 
-def zipped(df: DataFrame, arrays: dict[str, str], carry: Sequence[str]) -> DataFrame:
+def zipped(df: DataFrame, arrays: dict[str, str], carry: Sequence[str], unequal: str = "error") -> DataFrame:
     """Parallel arrays as rows with ``pos``: ``arrays`` maps the column of each array to the name of its elements.
 
-    Arrays of one row must be equally long; otherwise the query fails.
+    Arrays of one row must be equally long; otherwise the query fails, or with ``unequal="null"`` the shorter ones end in nulls. A
+    row in which all arrays are null or empty gives no rows.
     """
     names = list(arrays)
     same = F.lit(True)
     for n in names[1:]:
         same = same & (F.size(n) == F.size(names[0]))
-    checked = F.when(same, F.arrays_zip(*names)).otherwise(F.raise_error(F.lit("arrays of unequal length")))
+    if unequal == "null":
+        pairs = F.arrays_zip(*[F.coalesce(F.col(n), F.array().cast(df.schema[n].dataType)).alias(n) for n in names])
+    else:
+        pairs = F.arrays_zip(*names)
+    checked = pairs if unequal == "null" else F.when(same, pairs).otherwise(F.raise_error(F.lit("arrays of unequal length")))
     return df.select(*carry, F.posexplode(checked).alias("pos", "z")).select(*carry, "pos", *[F.col(f"z.{n}").alias(a) for n, a in arrays.items()])
 
 

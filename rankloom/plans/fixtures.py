@@ -11,10 +11,11 @@ from rankloom.session import table
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored candidates, each once: deliveries of a row differ in ``ingested_at`` only.
 
-    Grouping by the key, not by all columns, leaves the others to column pruning: what a query doesn't use isn't read.
+    Grouping by the key, not by all columns, leaves the others to column pruning: what a query doesn't use isn't read. All columns
+    come from the delivery that arrived last.
     """
-    d = table(spark, sf_dir, "scored_solutions").drop("ingested_at").filter("task_id is not null and sid is not null")
-    return d.groupBy("task_id", "sid").agg(*[F.max(c).alias(c) for c in d.columns if c not in ("task_id", "sid")])
+    d = table(spark, sf_dir, "scored_solutions").filter("task_id is not null and sid is not null")
+    return d.groupBy("task_id", "sid").agg(*[F.max_by(c, "ingested_at").alias(c) for c in d.columns if c not in ("task_id", "sid", "ingested_at")])
 
 
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.functions.code import valid_syntax
 from rankloom.functions.text import strip_ws
 from rankloom.operators import aggregates as A
 from rankloom.operators import dedup as D
@@ -14,9 +15,10 @@ from rankloom.operators import ranking as R
 from rankloom.operators import reshape as U
 from rankloom.operators import sampling as S
 from rankloom.operators import trials as TR
+from rankloom.plans.config import DATASETS
 from rankloom.plans.fixtures import SCORED, TRIALS, scored, trials
 from rankloom.plans.ranking_queries import rounded
-from rankloom.session import table
+from rankloom.session import spread, table
 
 STAGES = ["is_valid_syntax", "has_no_lint_errors", "e3s1t", "e3s3t", "e3s10t"]
 KEY = ["task_id", "sid"]
@@ -36,10 +38,21 @@ def dedup_min_numeric(spark, sf_dir):
     return D.dedup_min_numeric(d, ["task_id"], F.col("solution"), "solution_key").select("task_id", "solution_key", "dup_count", "num_tokens", "elapsed", "passed", "timed_out", "source")
 
 
+def _split_syntax(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    return D.dedup_split_syntax(spread(solutions(spark, sf_dir)), ["task_id"], strip_ws(F.col("solution")), valid_syntax(F.col("text")), ["logprob", "num_tokens", "completion_id"])
+
+
 def dedup_split_syntax(spark, sf_dir):
-    ok, bad = D.dedup_split_syntax(solutions(spark, sf_dir), ["task_id"], strip_ws(F.col("solution")), F.col("text").rlike(r"(?m)^\s*(def|return|print|import|from)\b"), ["logprob", "num_tokens", "completion_id"])
+    """Merged programs of either side of the parser's split; SQL can't parse, so the twin has what both sides share."""
+    ok, bad = _split_syntax(spark, sf_dir)
+    return ok.unionByName(bad).select("task_id", F.md5("text").alias("text_md5"), "count", "logprob", "num_tokens", "completion_id")
+
+
+def syntax_split(spark, sf_dir):
+    """Per side of the split: programs, their weight, and passed ones, of which the invalid side has none."""
+    ok, bad = _split_syntax(spark, sf_dir)
     d = ok.withColumn("valid", F.lit(True)).unionByName(bad.withColumn("valid", F.lit(False)))
-    return d.select("task_id", F.md5("text").alias("text_md5"), "count", "passed", "logprob", "num_tokens", "completion_id", "valid")
+    return d.groupBy("valid").agg(F.count(F.lit(1)).alias("programs"), F.sum("count").alias("weight"), F.count_if("passed").alias("passed"))
 
 
 def percent_unique(spark, sf_dir):
@@ -86,7 +99,7 @@ def mixed_outcomes(spark, sf_dir):
 
 def complete_groups(spark, sf_dir):
     d = solutions(spark, sf_dir).filter("model is not null and setup is not null and dataset is not null").select("model", "setup", "dataset").distinct()
-    expected = spark.createDataFrame([("gsm8k",), ("mbpp",), ("code_contests",)], "dataset string")
+    expected = spark.createDataFrame([(x,) for x in DATASETS], "dataset string")
     return FI.complete_groups(d, ["model", "setup"], "dataset", expected)
 
 
@@ -120,20 +133,19 @@ def trial_totals(spark, sf_dir):
 
 
 def timing_lookup(spark, sf_dir):
-    """The mean stage time of each cell of the grid of generators, setups, datasets and filters, where it was measured."""
+    """The mean stage time of each cell of the grid of generators, setups, datasets and filters; null where it wasn't measured."""
     f = table(spark, sf_dir, "filter_timings_summary").filter("filter_name is not null and dataset is not null and not isnan(time)")
-    per = f.groupBy("generator", "sampling_setup", "dataset", "filter_name").agg(F.avg("time").alias("time"))
-    return rounded(J.config_grid(per, ["generator", "sampling_setup", "dataset", "filter_name"]).join(per, ["generator", "sampling_setup", "dataset", "filter_name"]), 4)
+    return rounded(J.stage_times(f, ["generator", "sampling_setup", "dataset", "filter_name"]), 4)
 
 
 def config_grid(spark, sf_dir):
-    f = table(spark, sf_dir, "filter_timings_summary").filter("dataset is not null")
-    return J.config_grid(f, ["generator", "sampling_setup", "dataset"])
+    """All cells of models, setups and datasets, and whether they were sampled."""
+    return J.config_grid(table(spark, sf_dir, "solutions"), ["model", "setup", "dataset"])
 
 
 def problem_text_join(spark, sf_dir):
-    """Candidates with the description of their problem: the train record of smallest key."""
-    p = table(spark, sf_dir, "problems").filter("task_id is not null and split = 'train'")
+    """Candidates with the description of their problem: the record of smallest key, of whatever split."""
+    p = table(spark, sf_dir, "problems").filter("task_id is not null")
     p = p.groupBy("task_id").agg(F.min_by("description", "problem_key").alias("problem"))
     d = J.with_problem_text(solutions(spark, sf_dir).select("solution_key", "task_id"), p, "task_id")
     return d.select("solution_key", F.length("problem").alias("problem_chars"))
@@ -198,12 +210,12 @@ def kept_arrays(spark, sf_dir):
 
 
 def zip_outcomes(spark, sf_dir):
-    d = solutions(spark, sf_dir).filter(F.size("outcomes") == F.size("plus_outcomes"))
-    return U.zipped(d, {"outcomes": "base", "plus_outcomes": "plus"}, ["solution_key"])
+    """Both kinds of outcomes side by side; where one has fewer tests, it ends in nulls."""
+    return U.zipped(solutions(spark, sf_dir), {"outcomes": "base", "plus_outcomes": "plus"}, ["solution_key"], unequal="null")
 
 
 def pair_scores(spark, sf_dir):
-    d = U.paired_choices(scored(spark, sf_dir).filter("score is not null and not isnan(score) and score > double('-infinity')").select("task_id", "sid", "score"))
+    d = U.paired_choices(scored(spark, sf_dir).select("task_id", "sid", R.effective_score(F.col("score")).alias("score")))
     d = d.withColumn("v", F.when(F.col("target") == 1, F.col("score")).otherwise(1 - F.col("score")))
     return rounded(U.repaired(d, KEY, "v"))
 
@@ -237,7 +249,7 @@ def uniform_total(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        dedup_max_logprob, dedup_min_numeric, dedup_split_syntax, percent_unique, dedup_total, filter_pivot, staged_filter_kept, staged_filter_pruned, filter_then_rank,
+        dedup_max_logprob, dedup_min_numeric, dedup_split_syntax, syntax_split, percent_unique, dedup_total, filter_pivot, staged_filter_kept, staged_filter_pruned, filter_then_rank,
         mixed_outcomes, complete_groups, trial_agg, trial_homogeneity, trial_collapse, stage_time, pps_by_trial, trial_totals, timing_lookup, config_grid, problem_text_join,
         split_anti_join, pointwise_sample, pairwise_sample, train_val_split, sample_rows, sample_with_replacement, row_numbers, head_tail, topk_longest, nested_roundtrip,
         positions, kept_arrays, zip_outcomes, pair_scores, source_counts, pass_level_counts, pair_statistics, problems_passing, token_length_stats, uniform_total,
@@ -256,16 +268,15 @@ _TIME = lambda n: f"case when not isnan(timing['{n}_time']) then timing['{n}_tim
 SQL = {
     "dedup_max_logprob": f"with {_S} select task_id, min(solution_key) solution_key, count(*) count, nullif(max(logprob), 0) logprob, min(completion_id) completion_id, arg_min_null(source, solution_key) source from s where solution is not null group by task_id, solution",
     "dedup_min_numeric": f"with {_S} select task_id, min(solution_key) solution_key, count(*) dup_count, min(num_tokens) num_tokens, min(elapsed) elapsed, bool_and(passed) passed, bool_and(timed_out) timed_out, arg_max_null(source, solution_key) source from s where solution is not null group by task_id, solution",
-    "dedup_split_syntax": rf"""with {_S}, t as (select *, regexp_replace(solution, '^[\s\x0b]+|[\s\x0b]+$', '', 'g') t from s where solution is not null),
-g as (select task_id, t, count(*) count, bool_or(passed) p, min(logprob) logprob, min(num_tokens) num_tokens, min(completion_id) completion_id, regexp_matches(t, '(?m)^\s*(def|return|print|import|from)\b') valid from t group by task_id, t)
-select task_id, md5(t) text_md5, count, case when valid then p else false end passed, logprob, num_tokens, completion_id, valid from g""",
+    "dedup_split_syntax": rf"""with {_S}, t as (select *, regexp_replace(solution, '^[\s\x0b]+|[\s\x0b]+$', '', 'g') t from s where solution is not null)
+select task_id, md5(t) text_md5, count(*) count, min(logprob) logprob, min(num_tokens) num_tokens, min(completion_id) completion_id from t group by task_id, t""",
     "percent_unique": f"with {_S}, p as (select task_id, count(*) r, count(distinct solution) u from s where solution is not null group by 1) select sum(r)::bigint as \"rows\", sum(u)::bigint unique_rows, round(sum(u) / sum(r), 6) pct_unique, round(avg(u), 6) mean_unique from p",
     "dedup_total": f"with {_S} select count(*) rows_before, count(*) count_after, true preserved from s where solution is not null",
     "filter_pivot": f"with {_PIVOT} select * from flags",
     "staged_filter_kept": f"with {_KEEP} select task_id, sid, score from kept where keep",
     "staged_filter_pruned": f"with {_KEEP} select task_id, count(*) pruned from kept where not keep group by 1",
     "mixed_outcomes": f"with {_MIXED} select * from pool",
-    "complete_groups": "with d as (select distinct model, setup, dataset from solutions where model is not null and setup is not null and dataset is not null) select * from d where (model, setup) in (select (model, setup) from d where dataset in ('gsm8k', 'mbpp', 'code_contests') group by model, setup having count(distinct dataset) = 3)",
+    "complete_groups": "with d as (select distinct model, setup, dataset from solutions where model is not null and setup is not null and dataset is not null) select * from d where (model, setup) in (select (model, setup) from d where dataset in ('gsm8k', 'mbpp', 'code_contests', 'humaneval') group by model, setup having count(distinct dataset) = 4)",
     "trial_agg": f"""with {TRIALS}, d as (select *, {_TIME('execution')} ex, {_TIME('writing')} wr from trials)
 select task_id, sid, count(*) trials, arg_min(num_ran, (trial, finished_at)) num_ran, arg_min(num_passed, (trial, finished_at)) num_passed, arg_min(return_code, (trial, finished_at)) return_code, arg_min(timeout, (trial, finished_at)) timeout,
 round(avg(ex) + 1e-9, 6) execution_time, round(avg(wr) + 1e-9, 6) writing_time, round(stddev_samp(ex) + 1e-9, 6) execution_time_std, round(stddev_samp(wr) + 1e-9, 6) writing_time_std from d group by 1, 2""",
@@ -275,9 +286,9 @@ select task_id, sid, case when count(*) > 1 then string_agg(v || ':' || n, '|' o
     "stage_time": f"with {TRIALS} select trial, round(sum(case when task_id like 'code_contests%' then ({_TIME('execution')}) + coalesce({_TIME('preprocess')}, 0) + coalesce({_TIME('postprocess')}, 0) else {_TIME('execution')} end), 4) wall_time from trials group by 1",
     "pps_by_trial": f"with {TRIALS} select trial, count(*) num_preds, round(count(*) / avg({_TIME('execution')}), 4) execution_pps, round(count(*) / avg({_TIME('preprocess')}), 4) preprocess_pps from trials group by 1",
     "trial_totals": f"with {TRIALS} select trial, count(*) filter (passed) programs_passed, count(*) num_preds, round(count(*) filter (passed) / count(*), 6) pct_passed from trials group by 1",
-    "timing_lookup": "select generator, sampling_setup, dataset, filter_name, round(avg(time), 4) as \"time\" from filter_timings_summary where filter_name is not null and dataset is not null and not isnan(time) group by 1, 2, 3, 4",
-    "config_grid": "select distinct generator, sampling_setup, dataset from filter_timings_summary where dataset is not null and generator is not null and sampling_setup is not null",
-    "problem_text_join": f"with {_S}, p as (select task_id, arg_min_null(description, problem_key) problem from problems where task_id is not null and split = 'train' group by 1) select solution_key, length(problem) problem_chars from s join p using (task_id)",
+    "timing_lookup": "with f as (select * from filter_timings_summary where filter_name is not null and dataset is not null and not isnan(time) and generator is not null and sampling_setup is not null) select g.*, s.*, d.*, n.*, round((select avg(time) from f where generator = g.generator and sampling_setup = s.sampling_setup and dataset = d.dataset and filter_name = n.filter_name), 4) as \"time\" from (select distinct generator from f) g, (select distinct sampling_setup from f) s, (select distinct dataset from f) d, (select distinct filter_name from f) n",
+    "config_grid": "with d as (select * from solutions where model is not null and setup is not null and dataset is not null) select *, (model, setup, dataset) in (select (model, setup, dataset) from d) \"exists\" from (select distinct model from d), (select distinct setup from d), (select distinct dataset from d)",
+    "problem_text_join": f"with {_S}, p as (select task_id, arg_min_null(description, problem_key) problem from problems where task_id is not null group by 1) select solution_key, length(problem) problem_chars from s join p using (task_id)",
     "split_anti_join": "select problem_key from problems where split = 'train' and task_id is not null and task_id not in (select task_id from problems where split in ('validation', 'test') and task_id is not null)",
     "pointwise_sample": f"with {_S} select task_id, solution_key, passed from s qualify row_number() over (partition by task_id order by md5(concat_ws('|', task_id, solution_key, '1')), solution_key) <= 3",
     "pairwise_sample": f"""with {_S}, r as (select task_id, solution_key k, coalesce(passed, false) p, row_number() over (partition by task_id, coalesce(passed, false) order by md5(concat_ws('|', task_id, solution_key, '1')), solution_key) rn from s)
@@ -292,8 +303,8 @@ d as (select i draw, ('0x' || md5(concat_ws('|', i, '1999'))[1:12])::bigint % (s
     "nested_roundtrip": f"with {_S} select task_id, solution_key, sid, passed, count from s",
     "positions": f"with {_S} select task_id, solution_key, passed, (row_number() over (partition by task_id order by solution_key) - 1)::int pos from s",
     "kept_arrays": f"with {_S} select task_id, (count(*) filter (passed))::int kept, (count(*) filter (not coalesce(passed, false)))::int pruned from s group by 1",
-    "zip_outcomes": f"with {_S} select solution_key, (unnest(range(len(outcomes))))::int pos, unnest(outcomes) base, unnest(plus_outcomes) plus from s where len(outcomes) = len(plus_outcomes)",
-    "pair_scores": f"with {SCORED} select task_id, sid, round(max(1 - score), 6) failed_score, round(max(score), 6) score from scored where score is not null and not isnan(score) and score > '-infinity'::double group by 1, 2",
+    "zip_outcomes": f"with {_S} select solution_key, pos::int pos, outcomes[pos + 1] base, plus_outcomes[pos + 1] plus from (select *, unnest(range(greatest(coalesce(len(outcomes), 0), coalesce(len(plus_outcomes), 0)))) pos from s)",
+    "pair_scores": f"with {SCORED} select task_id, sid, round(max(1 - e), 6) failed_score, round(max(e), 6) score from (select *, case when score is null or isnan(score) then '-infinity'::double else score end e from scored) group by 1, 2",
     "source_counts": f"with {_S} select source, count(*) n from s group by 1",
     "pass_level_counts": f"with {_S} select task_id, count(*) total, count(*) filter (passed) num_passed, count(*) filter (passed_public) num_passed_public, count(*) filter (passed_plus) num_passed_plus from s group by 1",
     "pair_statistics": f"""with {_S}, p as (select task_id, count(*) filter (passed) passes, least(count(*) filter (passed), count(*) filter (not coalesce(passed, false))) pairs from s group by 1)

@@ -57,7 +57,7 @@ def path_parts(spark, sf_dir):
 
 def prompt_render(spark, sf_dir):
     t = T.TEMPLATES["qsol_task"]
-    p = table(spark, sf_dir, "problems").filter("split = 'train' and task_id is not null").groupBy("task_id").agg(F.min_by("description", "problem_key").alias("problem"))
+    p = table(spark, sf_dir, "problems").filter("task_id is not null").groupBy("task_id").agg(F.min_by("description", "problem_key").alias("problem"))
     d = solutions(spark, sf_dir).filter("solution is not null").join(p, "task_id", "left")
     return d.select("solution_key", F.md5(T.prompt(t, F.col("problem"), F.col("solution"), newline=True)).alias("h"), T.completion(t, F.coalesce("passed", F.lit(False))).alias("completion"))
 
@@ -224,7 +224,7 @@ _S = "s as (select * from solutions where task_id is not null)"
 _F = "chr(96)||chr(96)||chr(96)"
 _NL = "chr(10)"
 _WS = r"[\s\x0b]+"
-_P = "p as (select task_id, arg_min_null(description, problem_key) problem from problems where split = 'train' and task_id is not null group by 1)"
+_P = "p as (select task_id, arg_min_null(description, problem_key) problem from problems where task_id is not null group by 1)"
 _E = "e as (select vec_id, list_transform(embedding, lambda x: x::double) e, label from embeddings)"
 
 

@@ -16,7 +16,7 @@ CFG = DataConfig(examples_per_problem=4)
 
 
 def _candidates(spark, sf_dir):
-    p = table(spark, sf_dir, "problems").filter("split = 'train' and task_id is not null").groupBy("task_id").agg(F.min_by("description", "problem_key").alias("problem"))
+    p = table(spark, sf_dir, "problems").filter("task_id is not null").groupBy("task_id").agg(F.min_by("description", "problem_key").alias("problem"))
     d = solutions(spark, sf_dir).drop("sid").withColumnRenamed("solution_key", "sid")
     return d.join(p, "task_id", "left")
 
@@ -55,7 +55,7 @@ def causal_tokens(spark, sf_dir):
 
 def short_problems(spark, sf_dir):
     d = table(spark, sf_dir, "problems").filter("description is not null")
-    return d.select("problem_key", F.md5(K.truncated_text(F.col("description"), 20)).alias("h"))
+    return d.select("problem_key", F.md5(K.truncated_text(F.col("description"), 120)).alias("h"))
 
 
 def syntax_trials(spark, sf_dir):
@@ -76,7 +76,7 @@ QUERIES = {f.__name__: f for f in (train_pointwise, train_pairwise, validation_r
 
 _F = "chr(96)||chr(96)||chr(96)"
 _NL = "chr(10)"
-_C = "p as (select task_id, arg_min_null(description, problem_key) problem from problems where split = 'train' and task_id is not null group by 1), c as (select s.*, problem from solutions s left join p using (task_id) where s.task_id is not null and solution is not null)"
+_C = "p as (select task_id, arg_min_null(description, problem_key) problem from problems where task_id is not null group by 1), c as (select s.*, problem from solutions s left join p using (task_id) where s.task_id is not null and solution is not null)"
 _PRE = f"case when length(coalesce(problem, '')) > 0 then '# Question' || {_NL} || problem || {_NL} || {_NL} else {_NL} end || '# Proposed Solution' || {_NL} || {_F} || 'python' || {_NL}"
 
 
@@ -99,5 +99,5 @@ a as ({_ranked('passed')}), b as ({_ranked('passed_public')}) select a.n problem
 select solution_key, least(p + c + 2, 512)::int n, greatest(p + 1 - greatest(p + c + 2 - 512, 0), 0)::int ignored,
 case when p + c + 2 <= 512 then 256 else ('0x' || substring(hex(encode(t || s)), (p + c + 1 - 511) * 2 - 1, 2))::int end first_id from d""",
     "latest_setup": "select setup from problems where setup is not null order by try_cast(nullif(regexp_extract(setup, '(\\d+)$', 1), '') as bigint) desc nulls last, setup desc limit 1",
-    "short_problems": "select problem_key, md5(array_to_string(string_split(description, ' ')[1:20], ' ')) h from problems where description is not null",
+    "short_problems": "select problem_key, md5(substring(description, 1, (select max(i) from range(0, 121) r(i) where octet_length(encode(substring(description, 1, i))) <= 120)::int)) h from problems where description is not null",
 }
