@@ -28,9 +28,6 @@ K = 3400
 
 PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
-NODES = "array<struct<node:int,count:bigint>>"
-
-
 def leaf(value: Column) -> Column:
     """The leaf of a value: rises with it. Magnitudes below 2**-64 are zero, those from 2**64 on (and infinities) the outermost."""
     mag = F.abs(value)
@@ -89,12 +86,10 @@ def quantiles(node: np.ndarray, count: np.ndarray, at: tuple[float, ...]) -> np.
     return last[order][np.searchsorted(total, ranks)]
 
 
-def _compressed(nodes: pd.Series) -> pd.Series:
-    out = []
-    for x in nodes:
-        n, c = compress(np.array([r["node"] for r in x], np.int64), np.array([r["count"] for r in x], np.int64))
-        out.append([{"node": int(a), "count": int(b)} for a, b in zip(n, c)])
-    return pd.Series(out)
+def _compressed(nodes: pd.Series, counts: pd.Series) -> pd.DataFrame:
+    """One digest a row: the columns hold arrays, which Arrow hands over and takes as they are."""
+    done = [compress(n.astype(np.int64), c) for n, c in zip(nodes, counts)]
+    return pd.DataFrame({"nodes": [n.astype(np.int32) for n, _ in done], "counts": [c for _, c in done]})
 
 
 def leaf_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -108,14 +103,16 @@ def leaf_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def digests(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, n, nodes``: one digest per group of node counts. A group has at most 2**BITS of them, or those of digests."""
-    d = counts.groupBy(*keys).agg(F.sum("count").alias("n"), F.collect_list(F.struct("node", "count")).alias("nodes"))
-    return d.select(*keys, "n", F.pandas_udf(_compressed, NODES)("nodes").alias("nodes"))
+    """``keys, n, nodes, counts``: one digest per group of node counts, as two parallel arrays. A group has at most 2**BITS node
+    counts, or those of digests."""
+    d = counts.groupBy(*keys).agg(F.sum("count").alias("n"), F.collect_list(F.struct("node", "count")).alias("x"))
+    d = d.select(*keys, "n", F.pandas_udf(_compressed, "nodes array<int>, counts array<bigint>")("x.node", "x.count").alias("d"))
+    return d.select(*keys, "n", "d.nodes", "d.counts")
 
 
 def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
     """Digests combined by group, from any number of them: equal nodes are added, then compressed for the new n."""
-    rows = parts.select(*keys, F.inline("nodes"))
+    rows = parts.select(*keys, F.inline(F.arrays_zip("nodes", "counts")).alias("node", "count"))
     return digests(rows.groupBy(*keys, "node").agg(F.sum("count").alias("count")), keys)
 
 
@@ -123,14 +120,14 @@ def percentiles(whole: DataFrame, keys: list[str], at: tuple[float, ...] = PERCE
     """``keys, n, percentile, value, leaf, rank_error`` of digests; ``rank_error`` is the most by which the rank is off."""
 
     @F.pandas_udf("array<struct<percentile:double,leaf:int,value:double>>")
-    def ask(nodes: pd.Series) -> pd.Series:
+    def ask(nodes: pd.Series, counts: pd.Series) -> pd.Series:
         out = []
-        for x in nodes:
-            got = quantiles(np.array([r["node"] for r in x], np.int64), np.array([r["count"] for r in x], np.int64), at)
+        for n, c in zip(nodes, counts):
+            got = quantiles(n, c, at)
             out.append([{"percentile": p, "leaf": int(i), "value": float(v)} for p, i, v in zip(at, got, leaf_value(got))])
         return pd.Series(out)
 
-    d = whole.select(*keys, "n", F.inline(ask("nodes")))
+    d = whole.select(*keys, "n", F.inline(ask("nodes", "counts")))
     return d.withColumn("rank_error", F.lit(BITS) * F.floor(F.col("n") / K))
 
 
@@ -171,9 +168,23 @@ def p3_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy(*KEYS).agg(F.max("n").alias("n"), F.bool_and(ok).alias("within_bound"))
 
 
-QUERIES = {"p3_percentiles": p3_percentiles, "p3_daily": p3_daily, "p3_bounds": p3_bounds}
+def p3_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The percentiles of groups of fewer than K values, whose ranks are exact: SQL finds the same leaves by sorting."""
+    return p3_percentiles(spark, sf_dir).filter("rank_error = 0").select(*KEYS, "n", "percentile", F.round("value", 9).alias("value"))
+
+
+QUERIES = {"p3_percentiles": p3_percentiles, "p3_daily": p3_daily, "p3_bounds": p3_bounds, "p3_small": p3_small}
 
 SQL = {
+    "p3_small": f"""with v as (
+  select 'filter:' || coalesce(filter_name, '') metric, dataset, generator, time as x from filter_timings_summary
+  union all
+  select 'trial:' || e.key, null, null, e.value from (select unnest(map_entries(timing)) e from exec_results)),
+r as (select *, row_number() over (partition by metric, dataset, generator order by x) i, count(*) over (partition by metric, dataset, generator) n from v where x is not null and not isnan(x)),
+q as (select r.*, p from r, (select unnest({list(PERCENTILES)}) p) where n < {K} and i = greatest(1, ceil(p::double * n - 1e-9))),
+o as (select *, abs(x) a, floor(log2(greatest(abs(x), 1e-18))) oct from q),
+w as (select *, least(greatest(floor((a / pow(2.0, oct) - 1) * {STEPS}), 0), {STEPS - 1}) st from o)
+select metric, dataset, generator, n, p::double percentile, round(case when a < pow(2.0, -64) then 0 else sign(x) * pow(2.0, oct) * (1 + (st + 0.5) / {STEPS}) end, 9) "value" from w""",
     "p3_bounds": """with v as (
   select 'filter:' || coalesce(filter_name, '') metric, dataset, generator, time as x from filter_timings_summary
   union all
