@@ -8,11 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.operators.skew import bounded_join
+from rankloom.session import materialize
+
 #: Candidates of one problem whose sid agrees beyond these low bits may share a part.
 SID_BITS = 12
+#: Rows of a part beyond which it is split by its exact scores and by sid; and the estimated bytes of a table beyond which
+#: parts of such a size are looked for. Only the plan depends on both.
+HOT_ROWS, HOT_BYTES = 1_000_000, 1 << 28
 
 NEG_INF = float("-inf")
 
@@ -33,28 +40,50 @@ def _part(score: Column, sid: Column) -> tuple[Column, Column]:
     return -signed, F.when(score == NEG_INF, F.shiftright(F.coalesce(sid.cast("bigint"), F.lit(-1)), SID_BITS)).otherwise(0)
 
 
-def rank_intervals(df: DataFrame, keys: Sequence[str], score: str = "score", sid: str = "sid", count: str | None = "count", flags: Sequence[str] = ()) -> DataFrame:
+def _split_hot(d: DataFrame, keys: list[str], sid: str, hot: int) -> DataFrame:
+    """``d`` with the parts of more than ``hot`` rows split further: ``__p0`` is their exact score, ``__p2`` the high bits of the sid."""
+    d = materialize(d, "ranked")
+    parts = ["__p1", "__p2"]
+    heavy = d.groupBy(*keys, *parts).agg(F.count(F.lit(1)).alias("h_rows")).filter(F.col("h_rows") > hot)
+    heavy = materialize(heavy.toDF(*[f"h_{c}" for c in (*keys, *parts)], "h_rows"), "hot")
+    d = bounded_join(d, heavy, [*keys, *parts], [f"h_{c}" for c in (*keys, *parts)], "h_rows", "left")
+    is_hot = F.col("h_rows").isNotNull() & (F.col("eff") > NEG_INF)  # pruned candidates are split by sid already
+    high = F.shiftright(F.coalesce(F.col(sid).cast("bigint"), F.lit(-1)), SID_BITS)
+    return d.withColumn("__p0", F.when(is_hot, -F.col("eff"))).withColumn("__p2", F.when(is_hot, high).otherwise(F.col("__p2"))).drop("h_rows", *[f"h_{c}" for c in (*keys, *parts)])
+
+
+def rank_intervals(
+    df: DataFrame, keys: Sequence[str], score: str = "score", sid: str = "sid", count: str | None = "count", flags: Sequence[str] = (), hot: int = HOT_ROWS, large: bool | None = None
+) -> DataFrame:
     """Adds ``eff`` (the effective score), ``w`` (the weight), ``lo`` and ``hi``, the problem's weight ``n_all``, and for each of
     ``flags`` the weight of the problem's candidates that have it (``n_<flag>``).
 
     Order: score descending, equal scores by sid ascending. A problem isn't ordered in one task: its candidates are cut
     into parts by score; the parts' weights are summed first, and only each part is sorted. A null or non-positive
-    weight counts as 1; without ``count`` every candidate weighs 1.
+    weight counts as 1; without ``count`` every candidate weighs 1. In a ``large`` table (by default one of an estimated size of
+    HOT_BYTES or more) parts of more than ``hot`` rows, such as many equal scores of one problem, are found first and split
+    by score and sid.
     """
     keys = list(keys)
     w = F.lit(1).cast("bigint") if count is None else F.greatest(F.coalesce(F.col(count), F.lit(1)), F.lit(1)).cast("bigint")
     d = df.withColumn("eff", effective_score(F.col(score))).withColumn("w", w)
     p1, p2 = _part(F.col("eff"), F.col(sid))
     d = d.withColumn("__p1", p1).withColumn("__p2", p2)
-    parts = d.groupBy(*keys, "__p1", "__p2").agg(F.sum("w").alias("__pw"), *[F.sum(F.when(F.col(f), F.col("w")).otherwise(0)).alias(f"__w_{f}") for f in flags])
-    before = Window.partitionBy(*keys).orderBy("__p1", "__p2").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys).orderBy("__p1", "__p2").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    if large is None:
+        large = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= HOT_BYTES
+    # in parts that aren't split __p0 is null; it is joined null-safely through a value that no score has
+    d = _split_hot(d, keys, sid, hot) if large else d.withColumn("__p0", F.lit(None).cast("double"))
+    d = d.withColumn("__p0", F.coalesce("__p0", F.lit(float("nan"))))
+    order = ["__p1", "__p0", "__p2"]
+    parts = d.groupBy(*keys, *order).agg(F.sum("w").alias("__pw"), *[F.sum(F.when(F.col(f), F.col("w")).otherwise(0)).alias(f"__w_{f}") for f in flags])
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     totals = [F.sum("__pw").over(whole).alias("n_all"), *[F.sum(f"__w_{f}").over(whole).alias(f"n_{f}") for f in flags]]
-    parts = parts.select(*keys, "__p1", "__p2", F.coalesce(F.sum("__pw").over(before), F.lit(0).cast("bigint")).alias("__before"), *totals)
-    inside = Window.partitionBy(*keys, "__p1", "__p2").orderBy(F.desc("eff"), F.asc(sid)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("__run", F.sum("w").over(inside)).join(parts, [*keys, "__p1", "__p2"])
+    parts = parts.select(*keys, *order, F.coalesce(F.sum("__pw").over(before), F.lit(0).cast("bigint")).alias("__before"), *totals)
+    inside = Window.partitionBy(*keys, *order).orderBy(F.desc("eff"), F.asc(sid)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("__run", F.sum("w").over(inside)).join(parts, [*keys, *order])
     hi = F.col("__before") + F.col("__run")
-    return d.withColumn("hi", hi).withColumn("lo", hi - F.col("w")).drop("__p1", "__p2", "__run", "__before")
+    return d.withColumn("hi", hi).withColumn("lo", hi - F.col("w")).drop(*order, "__run", "__before")
 
 
 def display_score(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -81,35 +110,62 @@ def best_of_k(passed: Column, lo: Column, hi: Column, n: Column, k: int, faithfu
     return F.sum(one)
 
 
-def problem_metrics(ranked: DataFrame, keys: Sequence[str], passed: str = "passed", ks: Sequence[int] = (4, 16, 64), strict: bool = True) -> DataFrame:
+def _sums(p: Column, r: Column, ks: Sequence[int], strict: bool, at: str) -> dict[str, tuple]:
+    """What the metrics of one kind of outcome are made from: by name the sum over candidates, and how sums combine."""
+    lo, hi, n = F.col("lo"), F.col("hi"), F.col("n_all")
+    inside = F.when(p, F.greatest(F.least(hi, r) - lo, F.lit(0))).otherwise(0)
+    out = {
+        f"{at}r": (F.first(r), F.first),
+        f"{at}__in": (F.sum(inside), F.sum),
+        f"{at}__first": (F.min(F.when(p, lo)), F.min),
+        f"{at}top1": (F.bool_or(p & (lo == 0)), F.bool_or),
+    }
+    return out | {f"{at}b_of_{k}": (best_of_k(p, lo, hi, n, k, strict), F.sum) for k in ks}
+
+
+def _finished(d: DataFrame, strict: bool, at: str) -> DataFrame:
+    r, first = F.col(f"{at}r"), F.col(f"{at}__first")
+    rs = F.when(r <= (1 if strict else 0), 0.0).otherwise(F.try_divide(F.col(f"{at}__in"), r))
+    mrr = F.when(first.isNotNull(), 1.0 / (first + 1)).otherwise(0.0)
+    return d.withColumn(f"{at}rs", rs).withColumn(f"{at}mrr", mrr).withColumn(f"{at}top1", F.col(f"{at}top1").cast("double")).drop(f"{at}__in", f"{at}__first")
+
+
+def category_metrics(ranked: DataFrame, keys: Sequence[str], categories: dict[str, tuple[str, Sequence[int]]], strict: bool = True, ties: bool = False, pruned: str | None = None) -> DataFrame:
+    """Per problem ``n, unique_preds`` and, for every category of outcomes, ``r, rs, mrr, top1`` and its ``b_of_k``, each with the
+    category's name before it, in one aggregation.
+
+    ``categories`` maps that name (it may be empty) to the outcome's column and the ks; ``ranked`` has the columns among its
+    flags. ``ties`` adds ``num_collisions``, the scores held by more than one candidate, and ``pruned`` the number of candidates
+    that have that flag.
+    """
+    keys = list(keys)
+    sums = {"n": (F.first("n_all"), F.first), "unique_preds": (F.count(F.lit(1)), F.sum)}
+    for at, (flag, ks) in categories.items():
+        sums |= _sums(F.coalesce(F.col(flag), F.lit(False)), F.col(f"n_{flag}"), ks, strict, at)
+    if pruned:
+        sums["pruned"] = (F.count_if(F.col(pruned)), F.sum)
+    if ties:  # sums by score first; the second step sees scores, not candidates
+        per = ranked.groupBy(*keys, "eff").agg(F.sum("w").alias("__held"), *[x.alias(c) for c, (x, _) in sums.items()])
+        out = per.groupBy(*keys).agg(F.count_if(F.col("__held") > 1).alias("num_collisions"), *[again(c).alias(c) for c, (_, again) in sums.items()])
+    else:
+        out = ranked.groupBy(*keys).agg(*[x.alias(c) for c, (x, _) in sums.items()])
+    for at in categories:
+        out = _finished(out, strict, at)
+    return out
+
+
+def problem_metrics(ranked: DataFrame, keys: Sequence[str], passed: str = "passed", ks: Sequence[int] = (4, 16, 64), strict: bool = True, ties: bool = False, pruned: str | None = None) -> DataFrame:
     """Per problem: ``n, r, unique_preds, rs, mrr, top1`` and ``b_of_k`` for each k.
 
     ``rs`` is the share of passing candidates among the first R ranks, R the weight of passing ones; with ``strict`` it is
     0 for R = 1, as in the published figures. A null outcome counts as not passed. Where ``ranked`` was made with ``passed``
-    among its flags, nothing is joined.
+    among its flags, nothing is joined. ``ties`` and ``pruned`` as for ``category_metrics``.
     """
     keys = list(keys)
-    p = F.coalesce(F.col(passed), F.lit(False))
-    if f"n_{passed}" in ranked.columns:
-        d, n, r = ranked, F.col("n_all"), F.col(f"n_{passed}")
-    else:
-        d = ranked.join(ranked.groupBy(*keys).agg(F.sum(F.when(p, F.col("w")).otherwise(0)).alias("__r")), keys)
-        n, r = F.col("n_all"), F.col("__r")
-    lo, hi = F.col("lo"), F.col("hi")
-    inside = F.when(p, F.greatest(F.least(hi, r) - lo, F.lit(0))).otherwise(0)
-    agg = [
-        F.first(n).alias("n"),
-        F.first(r).alias("r"),
-        F.count(F.lit(1)).alias("unique_preds"),
-        F.sum(inside).alias("__in"),
-        F.min(F.when(p, lo)).alias("__first"),
-        F.bool_or(p & (lo == 0)).alias("top1"),
-        *[best_of_k(p, lo, hi, n, k, strict).alias(f"b_of_{k}") for k in ks],
-    ]
-    out = d.groupBy(*keys).agg(*agg)
-    rs = F.when(F.col("r") <= (1 if strict else 0), 0.0).otherwise(F.try_divide(F.col("__in"), F.col("r")))
-    mrr = F.when(F.col("__first").isNotNull(), 1.0 / (F.col("__first") + 1)).otherwise(0.0)
-    return out.withColumn("rs", rs).withColumn("mrr", mrr).withColumn("top1", F.col("top1").cast("double")).drop("__in", "__first")
+    if f"n_{passed}" not in ranked.columns:
+        weight = F.sum(F.when(F.coalesce(F.col(passed), F.lit(False)), F.col("w")).otherwise(0))
+        ranked = ranked.join(ranked.groupBy(*keys).agg(weight.alias(f"n_{passed}")), keys)
+    return category_metrics(ranked, keys, {"": (passed, ks)}, strict, ties, pruned)
 
 
 def macro_average(per_problem: DataFrame, metrics: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -124,31 +180,47 @@ def largest_ks(per_problem: DataFrame, ks: Sequence[int]) -> list[int]:
 
 
 def _discount(lo: Column, hi: Column) -> Column:
-    """Sum of 1 / log2(i + 2) over the ranks of an interval."""
-    return F.when(hi > lo, F.aggregate(F.sequence(lo, hi - 1), F.lit(0.0), lambda a, i: a + 1.0 / F.log2(i + 2.0))).otherwise(0.0)
+    """Sum of 1 / log2(i + 2) over the ranks of an interval, however long: up to 128 terms one by one, the rest by the
+    Euler-Maclaurin formula from rank 64 on, where its next term is below 1e-9.
+
+    The integral of 1 / log2(x) is taken over u = ln x in pieces of at most one, with eight Gauss points each.
+    """
+    direct = F.least(hi, F.greatest(lo, F.lit(64).cast("bigint")))
+    direct = F.when(hi - direct <= 64, hi).otherwise(direct)
+    head = F.when(direct > lo, F.aggregate(F.sequence(lo, direct - 1), F.lit(0.0), lambda a, i: a + 1.0 / F.log2(i + 2.0))).otherwise(0.0)
+    ln2 = float(np.log(2))
+    x0, x1 = direct + 2.0, hi + 2.0
+    u0, u1 = F.log(x0), F.log(x1)
+    pieces = F.ceil(u1 - u0).cast("int")
+    width = (u1 - u0) / pieces
+    points, weights = np.polynomial.legendre.leggauss(8)
+
+    def piece(a: Column, j: Column) -> Column:
+        at = [u0 + width * (j + float((1 + p) / 2)) for p in points]
+        return a + sum((float(w) * F.exp(u) / u for u, w in zip(at[1:], weights[1:])), float(weights[0]) * F.exp(at[0]) / at[0])
+
+    area = F.aggregate(F.sequence(F.lit(0), pieces - 1), F.lit(0.0), piece) * width * (ln2 / 2)
+    slope = lambda x, u: -ln2 / (x * u * u)
+    tail = area - (ln2 / u1 - ln2 / u0) / 2 + (slope(x1, u1) - slope(x0, u0)) / 12
+    return head + F.when(hi > direct, tail).otherwise(0.0)
 
 
 def ndcg(ranked: DataFrame, keys: Sequence[str], gain: str = "num_tests_passed", k: int | None = None, sid: str = "sid") -> DataFrame:
     """Per problem ``ndcg`` in percent: linear gains, equal scores share their mean gain, the ideal order ignores ties.
 
-    Null gains are 0; a problem without gain has 0. ``k`` cuts both sums after k ranks.
+    Null gains are 0; a problem without gain has 0. ``k`` cuts both sums after k ranks. Candidates are summed by score and by
+    gain; discounts are taken of whole intervals of ranks, so that no candidate is visited by rank.
     """
     keys = list(keys)
     cap = (lambda c: F.least(c, F.lit(k).cast("bigint"))) if k else (lambda c: c)
     d = ranked.withColumn("g", F.coalesce(F.col(gain), F.lit(0)).cast("double"))
-    d = d.withColumn("d", _discount(cap(F.col("lo")), cap(F.col("hi"))))
-    ties = d.groupBy(*keys, "eff").agg(F.try_divide(F.sum(F.col("g") * F.col("w")), F.sum("w")).alias("mean"), F.sum("d").alias("d"))
-    dcg = ties.groupBy(*keys).agg(F.sum(F.col("mean") * F.col("d")).alias("dcg"))
-    # the ideal order: parts of equal gain, split by hash, as their order among each other doesn't matter
-    e = d.withColumn("__sub", F.pmod(F.xxhash64(sid), F.lit(64)).cast("int"))
-    sizes = e.groupBy(*keys, "g", "__sub").agg(F.sum("w").alias("__pw"))
-    before = Window.partitionBy(*keys).orderBy(F.desc("g"), "__sub").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(*keys, "g", "__sub", F.coalesce(F.sum("__pw").over(before), F.lit(0).cast("bigint")).alias("__before"))
-    inside = Window.partitionBy(*keys, "g", "__sub").orderBy(sid).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    e = e.withColumn("__run", F.sum("w").over(inside)).join(sizes, [*keys, "g", "__sub"])
-    hi = F.col("__before") + F.col("__run")
-    ideal = e.withColumn("d", _discount(cap(hi - F.col("w")), cap(hi)))
-    ideal = ideal.groupBy(*keys).agg(F.sum(F.col("g") * F.col("d")).alias("idcg"))
+    ties = d.groupBy(*keys, "eff").agg(F.try_divide(F.sum(F.col("g") * F.col("w")), F.sum("w")).alias("mean"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    dcg = ties.groupBy(*keys).agg(F.sum(F.col("mean") * _discount(cap(F.col("lo")), cap(F.col("hi")))).alias("dcg"))
+    # the ideal order of candidates of equal gain doesn't matter: one interval for each gain
+    gains = d.groupBy(*keys, "g").agg(F.sum("w").alias("w"))
+    upto = F.sum("w").over(Window.partitionBy(*keys).orderBy(F.desc("g")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ideal = gains.withColumn("hi", upto).withColumn("lo", F.col("hi") - F.col("w"))
+    ideal = ideal.groupBy(*keys).agg(F.sum(F.col("g") * _discount(cap(F.col("lo")), cap(F.col("hi")))).alias("idcg"))
     return dcg.join(ideal, keys).select(*keys, F.when(F.col("idcg") > 0, 100 * F.col("dcg") / F.col("idcg")).otherwise(0.0).alias("ndcg"))
 
 
@@ -165,9 +237,24 @@ def collisions(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def timing_stats(df: DataFrame, keys: Sequence[str], time: str = "score_time", pruned: str = "filtered_out") -> DataFrame:
-    """Per problem over candidates that weren't pruned: mean, exact median, population deviation and sum; null if none."""
-    t = F.when(~F.coalesce(F.col(pruned), F.lit(False)), F.col(time))
-    return df.groupBy(*keys).agg(F.avg(t).alias("time_mean"), F.median(t).alias("time_median"), F.stddev_pop(t).alias("time_std"), F.sum(t).alias("time_sum"))
+    """Per problem over candidates that weren't pruned: mean, exact median, population deviation and sum; null if none.
+
+    The median is the mean of the one or two middle values of the ranking by time, which no task has whole.
+    """
+    keys = list(keys)
+    kept = df.filter(~F.coalesce(F.col(pruned), F.lit(False)) & F.col(time).isNotNull()).select(*keys, F.col(time).cast("double").alias("t"))
+    stats = df.groupBy(*keys).agg(F.lit(1).alias("__one")).drop("__one").join(kept.groupBy(*keys).agg(F.avg("t").alias("time_mean"), F.stddev_pop("t").alias("time_std"), F.sum("t").alias("time_sum")), keys, "left")
+    ranked = rank_intervals(kept.withColumn("sid", F.lit(0)), keys, "t", count=None)
+    middle = (F.col("lo") == F.floor((F.col("n_all") - 1) / 2)) | (F.col("lo") == F.floor(F.col("n_all") / 2))
+    median = ranked.filter(middle).groupBy(*keys).agg(F.avg("t").alias("time_median"))
+    return stats.join(median, keys, "left").select(*keys, "time_mean", "time_median", "time_std", "time_sum")
+
+
+def long_form(wide: DataFrame, by: Sequence[str], categories: dict[str, tuple[str, Sequence[int]]], metrics: Sequence[str] = ("rs", "mrr", "top1")) -> DataFrame:
+    """``by, category, metric, value`` of the columns that ``category_metrics`` names, one row for each."""
+    cells = [(c, m) for c, (_, ks) in categories.items() for m in (*metrics, *[f"b_of_{k}" for k in ks])]
+    rows = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(m).alias("metric"), F.col(f"{c}{m}").cast("double").alias("value")) for c, m in cells])
+    return wide.select(*by, F.inline(rows))
 
 
 def fan_out(metrics: Column | Sequence[str], per_problem: dict[str, DataFrame], keys: Sequence[str]) -> DataFrame:

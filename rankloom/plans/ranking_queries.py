@@ -38,10 +38,10 @@ def rank_metrics_unweighted(spark, sf_dir):
 
 def rank_categories(spark, sf_dir):
     """Outcome categories: all ks for ``all``, only the largest for the others."""
-    d = ranked(spark, sf_dir, "passed", "passed_public", "passed_plus")
-    per = {"all": R.problem_metrics(d, T, "passed", (4, 16)), "public": R.problem_metrics(d, T, "passed_public", (16,)), "plus": R.problem_metrics(d, T, "passed_plus", (16,))}
-    long = R.fan_out(["rs", "mrr", "top1", "b_of_4", "b_of_16"], per, T)
-    return rounded(long.groupBy("category", "metric").agg(F.avg("value").alias("value")))
+    of = {"all": ("passed", (4, 16)), "public": ("passed_public", (16,)), "plus": ("passed_plus", (16,))}
+    per = R.category_metrics(ranked(spark, sf_dir, *[f for f, _ in of.values()]), T, of)
+    names = [f"{c}{m}" for c, (_, ks) in of.items() for m in ("rs", "mrr", "top1", *[f"b_of_{k}" for k in ks])]
+    return rounded(R.long_form(per.agg(*[F.avg(n).alias(n) for n in names]), [], of))
 
 
 def rank_vector(spark, sf_dir):

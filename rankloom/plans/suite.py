@@ -142,13 +142,11 @@ def suite_report(scored: DataFrame, suite: EvalSuite, by: tuple[str, ...] = ("da
     """Long report ``dataset, metric, value``: macro averages per dataset, collisions, candidates and pruned ones."""
     keys = [*by, "task_id"]
     ranked = R.rank_intervals(scored, keys, flags=["passed"])
-    per = R.problem_metrics(ranked, keys, ks=suite.ks)
+    per = R.problem_metrics(ranked, keys, ks=suite.ks, ties=True, pruned="filtered_out")
     names = ["rs", "mrr", "top1", *[f"b_of_{k}" for k in suite.ks]]
-    macro = R.macro_average(per, names, by)
-    col = R.collisions(ranked, keys).groupBy(*by).agg(F.sum("num_collisions").cast("double").alias("num_collisions"), F.sum("unique_preds").cast("double").alias("unique_preds"))
-    col = col.withColumn("pct_collisions", F.try_divide("num_collisions", "unique_preds"))
-    gone = scored.groupBy(*by).agg(F.count_if("filtered_out").cast("double").alias("pruned"))
-    wide = macro.withColumn("problems", F.col("problems").cast("double")).join(col, list(by)).join(gone, list(by))
+    total = lambda c: F.sum(c).cast("double").alias(c)
+    wide = per.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("problems"), *[F.avg(m).alias(m) for m in names], *[total(c) for c in ("num_collisions", "unique_preds", "pruned")])
+    wide = wide.withColumn("pct_collisions", F.try_divide("num_collisions", "unique_preds"))
     return scaled(wide.unpivot(list(by), [c for c in wide.columns if c not in by], "metric", "value"))
 
 

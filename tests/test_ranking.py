@@ -2,10 +2,12 @@
 
 import math
 import random
+import statistics
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from rankloom.operators import filters as FI
 from rankloom.operators import ranking as R
@@ -76,6 +78,42 @@ def test_metrics_equal_their_definitions(spark, strict):
             assert got[k][name] == pytest.approx(value, abs=1e-9), (k, name)
 
 
+def test_one_problem_of_many_equal_scores_is_split(spark):
+    """Hot parts are split by score and sid; the ranks stay those of the plain order."""
+    rows = [r for v in groups().values() for r in v] + [("hot", i, 0.75 if i % 7 else 0.76, i % 5 == 0, 1, i % 3, 0.1, False) for i in range(9000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    plain_ = {(r.task_id, r.sid): (r.lo, r.hi, r.n_passed) for r in R.rank_intervals(df, ["task_id"], flags=["passed"]).collect()}
+    split = R.rank_intervals(df, ["task_id"], flags=["passed"], hot=50, large=True)
+    assert {(r.task_id, r.sid): (r.lo, r.hi, r.n_passed) for r in split.collect()} == plain_
+    assert plain_["hot", 7][0] == 1 and plain_["hot", 1][0] == sum(i % 7 == 0 for i in range(9000))
+
+
+def test_a_problem_of_a_million_equal_scores(spark):
+    df = spark.range(1_000_000).select(F.lit("p").alias("task_id"), F.col("id").cast("int").alias("sid"), F.lit(0.5).alias("score"), (F.pmod("id", F.lit(10)) == 9).alias("passed"), F.lit(1).alias("count"), F.lit(1).alias("num_tests_passed"))
+    ranked = R.rank_intervals(df, ["task_id"], flags=["passed"], hot=10_000, large=True)
+    m = R.problem_metrics(ranked, ["task_id"], ks=(2,), ties=True).first()
+    assert (m.n, m.r, m.unique_preds, m.num_collisions) == (1_000_000, 100_000, 1_000_000, 1)
+    assert m.mrr == 0.1 and m.rs == 0.1 and m.top1 == 0.0 and abs(m.b_of_2 - 0.1) < 1e-4
+    assert R.ndcg(ranked, ["task_id"]).first().ndcg == pytest.approx(100.0)
+
+
+def test_discounts_of_long_intervals(spark):
+    spans = [(0, 0), (0, 1), (0, 64), (0, 65), (3, 129), (60, 200), (0, 5000), (70, 100_000), (999, 1_000_000), (64, 193)]
+    df = spark.createDataFrame(spans, "lo bigint, hi bigint")
+    for r in df.select("lo", "hi", R._discount(F.col("lo"), F.col("hi")).alias("d")).collect():
+        assert r.d == pytest.approx(sum(1 / math.log2(i + 2) for i in range(r.lo, r.hi)), rel=1e-10, abs=1e-12)
+
+
+def test_medians_by_rank(spark):
+    rng = random.Random(8)
+    rows = [(g, i, t, rng.random() < 0.1) for g, n in (("a", 1), ("b", 2), ("c", 101), ("d", 40)) for i, t in enumerate(rng.choice([0.0, -1.5, rng.random(), None]) for _ in range(n))] + [("e", 0, 1.0, True)]
+    df = spark.createDataFrame(rows, "task_id string, sid int, score_time double, filtered_out boolean")
+    got = {r.task_id: r for r in R.timing_stats(df, ["task_id"]).collect()}
+    for g in "abcde":
+        t = [x for a, _, x, out in rows if a == g and not out and x is not None]
+        assert (got[g].time_median is None and not t) or got[g].time_median == pytest.approx(statistics.median(t))
+
+
 def test_shown_scores_of_pruned_candidates(spark):
     df = spark.createDataFrame([r for v in groups().values() for r in v], SCHEMA)
     got = {(r.task_id, r.sid): r.shown for r in R.display_score(R.rank_intervals(df, ["task_id"]), ["task_id"]).collect()}
