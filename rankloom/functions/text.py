@@ -26,6 +26,13 @@ def before_fence(c: Column) -> Column:
     return F.substring_index(c, FENCE, 1)
 
 
+def before_stops(c: Column, stops: Sequence[str]) -> Column:
+    """A sample up to the first of the stop words, or all of it."""
+    for s in stops:
+        c = F.substring_index(c, s, 1)
+    return c
+
+
 def after_open_fence(c: Column) -> Column:
     """The text after the first opening Python fence, or all of it."""
     return F.when(F.contains(c, F.lit("```python")), F.substring(c, F.locate("```python", c) + 9, 1 << 30)).otherwise(c)

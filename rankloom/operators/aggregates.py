@@ -49,6 +49,17 @@ def import_counts(df: DataFrame, imports: str, count: Column, passed: Column, le
     return d.groupBy("package").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("p"), F.col("c")).otherwise(0)).alias("passes")).filter(F.col("n") >= least)
 
 
+def percentile_columns(df: DataFrame, keys: Sequence[str], value: str, at: Sequence[int] = (50, 90, 99)) -> DataFrame:
+    """Per key exact percentiles, interpolated, as ``percentile_NN``; null and NaN are no values."""
+    v = F.when(~F.isnan(value), F.col(value))
+    return df.groupBy(*keys).agg(*[F.percentile(v, p / 100).alias(f"percentile_{p:02d}") for p in at])
+
+
+def passed_at(df: DataFrame, keys: Sequence[str], outcomes: Column, n: int) -> DataFrame:
+    """Per key whether all rows pass their first ``n`` tests."""
+    return df.groupBy(*keys).agg(F.bool_and(F.forall(F.slice(outcomes, 1, n), lambda x: x)).alias(f"passed_at_{n}"))
+
+
 def validation_metrics(per_task: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """The mean of each metric over tasks."""
     return per_task.agg(*[F.avg(m).alias(m) for m in metrics])

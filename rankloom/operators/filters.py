@@ -61,6 +61,16 @@ def usable_problem(predictions: Column, invalid: Column, level: str = "passed",
     return keep & failing if require_both else keep
 
 
+def usable_problems(df: DataFrame, keys: Sequence[str], code: str, level: str = "passed", require_both: bool = True, invalid: Column | None = None, max_chars: int = 10_000) -> DataFrame:
+    """The same over flat candidates, ``keys, keep``: nothing of a problem is brought together. ``invalid`` marks programs with
+    invalid syntax, which count as failing and as nothing else; without it there are none."""
+    bad = F.lit(False) if invalid is None else F.coalesce(invalid, F.lit(False))
+    short = F.coalesce(F.length(code) < max_chars, F.lit(False))
+    ok = F.coalesce(F.col(level), F.lit(False))
+    passing, failing = F.bool_or(short & ~bad & ok), F.bool_or(short & (bad | ~ok))
+    return df.groupBy(*keys).agg((passing & failing if require_both else passing).alias("keep"))
+
+
 def drop_long_programs(predictions: Column, max_chars: int) -> Column:
     """The programs of an array that have at most ``max_chars`` characters."""
     return F.filter(predictions, lambda p: F.length(p["code"]) <= max_chars)

@@ -14,7 +14,7 @@ from rankloom.operators import projections as P
 from rankloom.operators import reshape as U
 from rankloom.operators import scoring as SC
 from rankloom.operators.aggregates import import_counts as count_imports
-from rankloom.operators.aggregates import throughput
+from rankloom.operators.aggregates import passed_at, percentile_columns, throughput
 from rankloom.plans.config import SUITES
 from rankloom.plans.fixtures import RANKED, TRIALS, scored, trials
 from rankloom.plans.ranking_queries import _metrics, rounded
@@ -123,12 +123,30 @@ def trial_elapsed(spark, sf_dir):
 
 
 def problem_keep(spark, sf_dir):
-    d = solutions(spark, sf_dir).filter("solution is not null").select("task_id", "solution_key", F.col("solution").alias("code"), "passed", F.lit(None).cast("boolean").alias("x"))
+    return FI.usable_problems(solutions(spark, sf_dir).filter("solution is not null"), ["task_id"], "solution")
+
+
+def problem_keep_nested(spark, sf_dir):
+    """The same over records with their programs in an array."""
+    d = solutions(spark, sf_dir).filter("solution is not null").select("task_id", "solution_key", F.col("solution").alias("code"), "passed")
     nested = U.renest(d, ["task_id"], ["code", "passed"], "predictions", "solution_key")
     keep = FI.usable_problem(F.col("predictions"), F.array().cast("array<struct<code:string,passed:boolean>>"))
     return nested.select("task_id", keep.alias("keep"))
 
 
+def stopped_samples(spark, sf_dir):
+    """Samples up to the first stop word."""
+    return solutions(spark, sf_dir).select("solution_key", F.length(X.before_stops(F.col("solution"), ["\nif __name__", "\nprint("])).alias("chars"))
+
+
+def time_percentiles(spark, sf_dir):
+    return rounded(percentile_columns(table(spark, sf_dir, "filter_timings_summary"), ["filter_name"], "time", (5, 50, 95)), 5)
+
+
+def passed_at_two(spark, sf_dir):
+    return passed_at(solutions(spark, sf_dir).filter("outcomes is not null"), ["task_id"], F.col("outcomes"), 2)
+
+
 def left_truncate(spark, sf_dir):
     d = solutions(spark, sf_dir)
     return d.select("solution_key", F.array_join(F.transform(A.keep_last(F.col("outcomes"), 3), lambda x: x.cast("string")), ",").alias("last"))
@@ -215,7 +233,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         fence_strip, whitespace_strip, program_postprocess, lint_parse, model_sizes, clock_times, path_parts, prompt_render, icl_render, chat_render, dummy_prefix, preference_suffixes, json_fields,
-        private_ladder, status_decode, completed_outcomes, share_passed, trial_elapsed, problem_keep, left_truncate, pad_to_longest, token_specials, logsoftmax_gather, binary_scores, mean_logprob,
+        private_ladder, status_decode, completed_outcomes, share_passed, trial_elapsed, problem_keep, problem_keep_nested, stopped_samples, time_percentiles, passed_at_two, left_truncate, pad_to_longest, token_specials, logsoftmax_gather, binary_scores, mean_logprob,
         batch_pack, batch_pack_parts, batch_estimate, syntax_validity, import_counts, docstrings, comment_free, suite_zero_shot, suite_throughput,
     )
 }
@@ -263,6 +281,9 @@ greatest(coalesce(len(outcomes), 0), 1)::int base, greatest(coalesce(len(plus_ou
     "share_passed": f"with {_S} select solution_key, round(coalesce(len(list_filter(outcomes, lambda x: x)) / nullif(len(outcomes), 0), 0), 6) share from s",
     "trial_elapsed": f"with {TRIALS}, e as (select trial, timing['execution_time'] + coalesce(timing['preprocess_time'], 0) + coalesce(timing['postprocess_time'], 0) e from trials) select trial, round(sum(e) filter (not isnan(e)), 4) elapsed from e group by 1",
     "problem_keep": f"with {_S} select task_id, coalesce(bool_or(passed) filter (length(solution) < 10000), false) and coalesce(bool_or(not coalesce(passed, false)) filter (length(solution) < 10000), false) keep from s where solution is not null group by 1",
+    "stopped_samples": f"with {_S} select solution_key, length(split_part(split_part(solution, chr(10) || 'if __name__', 1), chr(10) || 'print(', 1)) chars from s",
+    "time_percentiles": "select filter_name, " + ", ".join(f"round(quantile_cont(time, {p / 100}) filter (not isnan(time)), 5) percentile_{p:02d}" for p in (5, 50, 95)) + " from filter_timings_summary group by 1",
+    "passed_at_two": f"with {_S} select task_id, bool_and(coalesce(list_bool_and(outcomes[1:2]), true)) passed_at_2 from s where outcomes is not null group by 1",
     "left_truncate": f"with {_S} select solution_key, array_to_string(outcomes[greatest(len(outcomes) - 2, 1):], ',') \"last\" from s",
     "pad_to_longest": f"with {_S}, d as (select solution_key, source, list_transform(outcomes, lambda x: x::int) ids from s where outcomes is not null and source is not null), m as (select source, max(len(ids)) m from d group by 1) select solution_key, m::int n, (coalesce(list_sum(ids), 0) - (m - len(ids)))::int total from d join m using (source)",
     "token_specials": f"with {_S}, d as (select solution_key, list_transform(outcomes, lambda x: x::int) ids from s where outcomes is not null), n as (select *, len(ids) + (coalesce(ids[1], -1) <> 1)::int + 1 n from d) select solution_key, n::int n, (n + len(ids))::int labels from n",
@@ -280,3 +301,5 @@ b as (select split_part(task_id, '/', 1) dataset, (count(*) filter (c > 1))::dou
 w as (select * from a join b using (dataset)) select dataset, metric, round(v, 6) "value" from (unpivot w on columns(* exclude (dataset)) into name metric value v)""",
     "suite_throughput": "with p as (select dataset, avg(time) filtering, count(*) total_programs from filter_timings_summary where dataset is not null and not isnan(time) group by 1) select dataset, round(filtering, 5) filtering, total_programs, round(2 * filtering, 5) scoring_function, round(total_programs / filtering, 5) filtering_pps, round(total_programs / (2 * filtering), 5) scoring_function_pps, round(total_programs / (3 * filtering), 5) filter_and_score_pps from p",
 }
+
+SQL["problem_keep_nested"] = SQL["problem_keep"]

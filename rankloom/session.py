@@ -71,9 +71,31 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     atexit.register(drop_path, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._rankloom_path = path
+    if _open_steps:
+        _open_steps[-1].append(out)
     return out
 
 
+_open_steps: list[list[DataFrame]] = []
+
+
+class Steps:
+    """The tables written within a ``with`` block, to be deleted together once what is made from them is written itself."""
+
+    def __enter__(self) -> Steps:
+        self.tables: list[DataFrame] = []
+        _open_steps.append(self.tables)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _open_steps.remove(self.tables)
+
+    def release(self, *keep: DataFrame) -> None:
+        for d in self.tables:
+            if not any(d is k for k in keep):
+                release(d)
+
+
 def release(df: DataFrame) -> None:
     """Delete what ``materialize`` wrote, once nothing reads it any more."""
     path = getattr(df, "_rankloom_path", None)

@@ -21,11 +21,12 @@ from rankloom.operators import reshape as U
 from rankloom.operators import sampling as S
 from rankloom.operators import scoring as SC
 from rankloom.operators import skew
+from rankloom.operators import tokenize as K
 from rankloom.operators import trials as TR
 from rankloom.plans.config import SUITES, EvalSuite, PreprocessorConfig, RunConfig, ScoringConfig, TaskConfig
 from rankloom.plans import training as TN
 from rankloom.plans.suite import Model, evaluate, run_suite, suite_report
-from rankloom.session import materialize
+from rankloom.session import Steps, materialize
 from rankloom.sources import readers, writers
 from rankloom.streaming import trials as ST
 
@@ -301,6 +302,50 @@ def test_written_steps_survive_and_vanish(spark):
     assert d.count() == 5 and os.path.isdir(d._rankloom_path)
 
 
+def test_steps_are_deleted_together(spark):
+    with Steps() as outer:
+        a = materialize(spark.range(3))
+        with Steps() as inner:
+            b = materialize(spark.range(4))
+    c = materialize(spark.range(5))
+    inner.release()
+    assert not os.path.isdir(b._rankloom_path) and a.count() == 3
+    outer.release(a)
+    assert a.count() == 3 and c.count() == 5
+
+
+@pytest.mark.parametrize("most", [1, 3, 100])
+def test_bounded_join_by_broadcast_and_by_shuffle(spark, most):
+    left = spark.createDataFrame([("hot", i) for i in range(500)] + [(k, 0) for k in "abcde"] + [(None, 1), (None, 2), ("alone", 3)], "k string, v int")
+    right = spark.createDataFrame([("hot", 500, 1.0), ("a", 1, 2.0), ("b", 1, 3.0), (None, 2, 4.0), ("nobody", 0, 5.0)], "r string, n int, x double")
+    for how in ("inner", "left"):
+        got = skew.bounded_join(left, right, ["k"], ["r"], "n", how, most)
+        want = left.join(right, left.k.eqNullSafe(right.r), how)
+        assert sorted(map(str, got.select("k", "v", "x").collect())) == sorted(map(str, want.select("k", "v", "x").collect()))
+    assert skew.bounded_join(left, right.limit(0), ["k"], ["r"], "n", "left", most).count() == left.count()
+
+
+def test_grid_and_lookup(spark):
+    d = spark.createDataFrame([("a", 1, 2.0), ("a", 1, 4.0), ("b", 2, 5.0), (None, 1, 9.0)], "m string, s int, t double")
+    assert {(r.m, r.s): r.exists for r in J.config_grid(d, ["m", "s"]).collect()} == {("a", 1): True, ("a", 2): False, ("b", 1): False, ("b", 2): True}
+    assert {(r.m, r.s): r.t for r in J.stage_times(d, ["m", "s"], "t").collect()} == {("a", 1): 3.0, ("a", 2): None, ("b", 1): None, ("b", 2): 5.0}
+
+
+def test_problems_cut_to_tokens(spark):
+    d = spark.createDataFrame([("abc",), ("abcd",), ("aé中",), (None,), ("",)], "t string")
+    assert [r.c for r in d.select(K.truncated_text(F.col("t"), 3).alias("c")).collect()] == ["abc", "abc", "aé", None, ""]
+    upper = K.truncated_text(F.col("t"), 2, lambda texts: [[ord(c) for c in t] for t in texts], lambda ids: ["".join(map(chr, x)) for x in ids])
+    assert [r.c for r in d.select(upper.alias("c")).collect()] == ["ab", "ab", "aé", None, ""]
+
+
+def test_parsed_programs_part(spark):
+    rows = [("a", "x = 1", True), ("a", " x = 1\n", False), ("a", "x = ", True), ("b", "if x:", True), ("b", None, True)]
+    d = spark.createDataFrame(rows, "t string, s string, passed boolean")
+    ok, bad = D.dedup_split_syntax(d, ["t"], X.strip_ws(F.col("s")), C.valid_syntax(F.col("text")), [])
+    assert [(r.t, r.text, r["count"], r.passed) for r in ok.collect()] == [("a", "x = 1", 2, True)]
+    assert {(r.t, r.text, r.passed) for r in bad.collect()} == {("a", "x =", False), ("b", "if x:", False)}
+
+
 def test_stream_of_trials(spark, tmp_path):
     rows = [(0, "a", "0", False, True), (1, "a", "0", True, False), (0, "b", "0", False, False)]
     d = spark.createDataFrame(rows, "trial int, task_id string, sid string, timeout boolean, passed boolean").withColumn("finished_at", F.to_timestamp(F.lit("2025-01-01 00:00:00")))
