@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.minwise import SKETCH, TOKENS, run_sets, signed
 from rankloom.operators.skew import bounded_join, hot_split_join
-from rankloom.session import materialize, release
+from rankloom.session import Steps, materialize, release
 
 #: Nodes of at most so many texts are compared exhaustively.
 SMALL_NODE = 2048
@@ -233,7 +233,10 @@ def near_duplicates(df: DataFrame, key: str, text: str, k: int = 5, threshold: f
     texts = df.select(F.col(key).cast("bigint").alias("id"), F.lit(0).alias("side"), F.col(text).alias("text")).filter("id is not null and text is not null")
     reps, copies = distinct_sets(texts, k)
     verify = (lambda pairs: verified(materialize(pairs, "checked"), texts, k, threshold)) if groups_only else None
-    pairs = materialize(candidates(reps, threshold, verify=verify), "pairs")
+    with Steps() as levels:
+        found = candidates(reps, threshold, verify=verify)
+    pairs = materialize(found, "pairs")
+    levels.release()
     return verified(pairs, texts, k, threshold), copies
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rankloom.llm.chosen_path import RUNS, candidates, sized, verified
 from rankloom.llm.minwise import signed
 from rankloom.operators.skew import bounded_join, hot_split_join
-from rankloom.session import materialize
+from rankloom.session import Steps, materialize
 
 EVALUATION, TRAIN = 0, 1
 
@@ -60,7 +60,10 @@ def cross_split_matches(
 
     own = texts.join(sized(copies.select("id")), "id", "left_anti")
     reps = materialize(signed(own, k), "signatures")
-    near = materialize(candidates(reps, threshold, cross=True).unionByName(exact).distinct(), "pairs")
+    with Steps() as levels:
+        found = candidates(reps, threshold, cross=True)
+    near = materialize(found.unionByName(exact).distinct(), "pairs")
+    levels.release()
     return verified(near, own, k, threshold), copies
 
 
