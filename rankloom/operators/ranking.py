@@ -95,24 +95,36 @@ def display_score(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def survival(m: Column, n: Column, k: int) -> Column:
     """C(m, k) / C(n, k): the chance that k drawn of n all come from m of them. 0 for m < k; n must be at least k."""
-    term = lambda acc, j: acc * ((m - j) / (n - j))
-    return F.when(m >= k, F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.lit(1.0), term)).otherwise(F.lit(0.0))
+    return F.when(m >= k, F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.lit(1.0), lambda acc, j: acc * ((m - j) / (n - j)))).otherwise(F.lit(0.0))
 
 
-def best_of_k(passed: Column, lo: Column, hi: Column, n: Column, k: int, faithful: bool = True) -> Column:
-    """Sum over candidates: the chance that the best-ranked of k drawn candidates passes; 0 where k > n.
+#: Factors that are multiplied before a division: 16 of any bigint are a double still. Largest k whose product is written out.
+BLOCK, WRITTEN_OUT = 16, 64
+
+
+def survival_between(lo: str, hi: str, n: str, k: int) -> str:
+    """SQL of ``survival(n - lo) - survival(n - hi)``, the product written out for small k, which compiles to plain arithmetic."""
+    if k > WRITTEN_OUT:
+        steps = lambda m: f"if({m} >= {k}, aggregate(sequence(0, {k - 1}), 1d, (a, j) -> a * (({m} - j) / ({n} - j))), 0d)"
+        return f"{steps(f'({n} - {lo})')} - {steps(f'({n} - {hi})')}"
+    blocks = [range(i, min(i + BLOCK, k)) for i in range(0, k, BLOCK)]
+    product = lambda m, js: "(" + " * ".join(f"(cast({m} as double) - {j}d)" for j in js) + ")"
+    chance = lambda m: f"if({m} >= {k}, {' * '.join(f'({product(m, js)} / {product(n, js)})' for js in blocks)}, 0d)"
+    return f"{chance(f'({n} - {lo})')} - {chance(f'({n} - {hi})')}"
+
+
+def best_of_k(passed: str, lo: str, hi: str, n: str, k: int, faithful: bool = True) -> Column:
+    """Sum over candidates: the chance that the best-ranked of k drawn candidates passes; 0 where k > n. Takes SQL expressions.
 
     ``faithful`` leaves out the last possible rank, n - k, as the published figures do; otherwise it is counted.
     """
-    last = n - k if faithful else n
-    part = survival(n - lo, n, k) - survival(n - F.least(hi, last), n, k)
-    one = F.when(passed & (n >= k) & (lo < last), part).otherwise(0.0)
-    return F.sum(one)
+    last = f"({n} - {k})" if faithful else n
+    return F.sum(F.expr(f"if({passed} and {n} >= {k} and {lo} < {last}, {survival_between(lo, f'least({hi}, {last})', n, k)}, 0d)"))
 
 
-def _sums(p: Column, r: Column, ks: Sequence[int], strict: bool, at: str) -> dict[str, tuple]:
+def _sums(flag: str, ks: Sequence[int], strict: bool, at: str) -> dict[str, tuple]:
     """What the metrics of one kind of outcome are made from: by name the sum over candidates, and how sums combine."""
-    lo, hi, n = F.col("lo"), F.col("hi"), F.col("n_all")
+    lo, hi, p, r = F.col("lo"), F.col("hi"), F.coalesce(F.col(flag), F.lit(False)), F.col(f"n_{flag}")
     inside = F.when(p, F.greatest(F.least(hi, r) - lo, F.lit(0))).otherwise(0)
     out = {
         f"{at}r": (F.first(r), F.first),
@@ -120,7 +132,7 @@ def _sums(p: Column, r: Column, ks: Sequence[int], strict: bool, at: str) -> dic
         f"{at}__first": (F.min(F.when(p, lo)), F.min),
         f"{at}top1": (F.bool_or(p & (lo == 0)), F.bool_or),
     }
-    return out | {f"{at}b_of_{k}": (best_of_k(p, lo, hi, n, k, strict), F.sum) for k in ks}
+    return out | {f"{at}b_of_{k}": (best_of_k(f"coalesce(`{flag}`, false)", "lo", "hi", "n_all", k, strict), F.sum) for k in ks}
 
 
 def _finished(d: DataFrame, strict: bool, at: str) -> DataFrame:
@@ -141,7 +153,7 @@ def category_metrics(ranked: DataFrame, keys: Sequence[str], categories: dict[st
     keys = list(keys)
     sums = {"n": (F.first("n_all"), F.first), "unique_preds": (F.count(F.lit(1)), F.sum)}
     for at, (flag, ks) in categories.items():
-        sums |= _sums(F.coalesce(F.col(flag), F.lit(False)), F.col(f"n_{flag}"), ks, strict, at)
+        sums |= _sums(flag, ks, strict, at)
     if pruned:
         sums["pruned"] = (F.count_if(F.col(pruned)), F.sum)
     if ties:  # sums by score first; the second step sees scores, not candidates
@@ -179,30 +191,22 @@ def largest_ks(per_problem: DataFrame, ks: Sequence[int]) -> list[int]:
     return [k for k in ks if k <= most] or [most]
 
 
-def _discount(lo: Column, hi: Column) -> Column:
+def _discount(lo: str, hi: str) -> Column:
     """Sum of 1 / log2(i + 2) over the ranks of an interval, however long: up to 128 terms one by one, the rest by the
-    Euler-Maclaurin formula from rank 64 on, where its next term is below 1e-9.
+    Euler-Maclaurin formula from rank 64 on, where its next term is below 1e-9. Takes SQL expressions.
 
     The integral of 1 / log2(x) is taken over u = ln x in pieces of at most one, with eight Gauss points each.
     """
-    direct = F.least(hi, F.greatest(lo, F.lit(64).cast("bigint")))
-    direct = F.when(hi - direct <= 64, hi).otherwise(direct)
-    head = F.when(direct > lo, F.aggregate(F.sequence(lo, direct - 1), F.lit(0.0), lambda a, i: a + 1.0 / F.log2(i + 2.0))).otherwise(0.0)
-    ln2 = float(np.log(2))
-    x0, x1 = direct + 2.0, hi + 2.0
-    u0, u1 = F.log(x0), F.log(x1)
-    pieces = F.ceil(u1 - u0).cast("int")
-    width = (u1 - u0) / pieces
+    direct = f"if({hi} - least({hi}, greatest({lo}, 64L)) <= 64, {hi}, least({hi}, greatest({lo}, 64L)))"
+    head = f"if(d > {lo}, aggregate(sequence({lo}, d - 1), 0d, (a, i) -> a + 1d / log2(i + 2d)), 0d)"
     points, weights = np.polynomial.legendre.leggauss(8)
-
-    def piece(a: Column, j: Column) -> Column:
-        at = [u0 + width * (j + float((1 + p) / 2)) for p in points]
-        return a + sum((float(w) * F.exp(u) / u for u, w in zip(at[1:], weights[1:])), float(weights[0]) * F.exp(at[0]) / at[0])
-
-    area = F.aggregate(F.sequence(F.lit(0), pieces - 1), F.lit(0.0), piece) * width * (ln2 / 2)
-    slope = lambda x, u: -ln2 / (x * u * u)
-    tail = area - (ln2 / u1 - ln2 / u0) / 2 + (slope(x1, u1) - slope(x0, u0)) / 12
-    return head + F.when(hi > direct, tail).otherwise(0.0)
+    at = [f"(u0 + (u1 - u0) / n * (j + {float((1 + p) / 2)!r}d))" for p in points]
+    area = f"aggregate(sequence(0, n - 1), 0d, (a, j) -> a + {' + '.join(f'{float(w)!r}d * exp({u}) / {u}' for u, w in zip(at, weights))}) * (u1 - u0) / n / 2d"
+    slope = lambda u: f"1d / (exp({u}) * {u} * {u})"
+    tail = f"ln(2d) * ({area} - (1d / u1 - 1d / u0) / 2d - ({slope('u1')} - {slope('u0')}) / 12d)"
+    named = lambda value, name, inner: f"transform(array({value}), {name} -> {inner})[0]"
+    tail = named("ln(d + 2d)", "u0", named(f"ln({hi} + 2d)", "u1", named("cast(ceil(u1 - u0) as int)", "n", tail)))
+    return F.expr(named(direct, "d", f"{head} + if({hi} > d, {tail}, 0d)"))
 
 
 def ndcg(ranked: DataFrame, keys: Sequence[str], gain: str = "num_tests_passed", k: int | None = None, sid: str = "sid") -> DataFrame:
@@ -213,15 +217,21 @@ def ndcg(ranked: DataFrame, keys: Sequence[str], gain: str = "num_tests_passed",
     """
     keys = list(keys)
     cap = (lambda c: F.least(c, F.lit(k).cast("bigint"))) if k else (lambda c: c)
-    d = ranked.withColumn("g", F.coalesce(F.col(gain), F.lit(0)).cast("double"))
-    ties = d.groupBy(*keys, "eff").agg(F.try_divide(F.sum(F.col("g") * F.col("w")), F.sum("w")).alias("mean"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    dcg = ties.groupBy(*keys).agg(F.sum(F.col("mean") * _discount(cap(F.col("lo")), cap(F.col("hi")))).alias("dcg"))
-    # the ideal order of candidates of equal gain doesn't matter: one interval for each gain
-    gains = d.groupBy(*keys, "g").agg(F.sum("w").alias("w"))
-    upto = F.sum("w").over(Window.partitionBy(*keys).orderBy(F.desc("g")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ideal = gains.withColumn("hi", upto).withColumn("lo", F.col("hi") - F.col("w"))
-    ideal = ideal.groupBy(*keys).agg(F.sum(F.col("g") * _discount(cap(F.col("lo")), cap(F.col("hi")))).alias("idcg"))
-    return dcg.join(ideal, keys).select(*keys, F.when(F.col("idcg") > 0, 100 * F.col("dcg") / F.col("idcg")).otherwise(0.0).alias("ndcg"))
+    g = F.coalesce(F.col(gain), F.lit(0)).cast("double")
+    # each candidate counts with those of its score (side 0) and with those of its gain (side 1)
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("eff").alias("value")), F.struct(F.lit(1).alias("side"), g.alias("value")))
+    d = ranked.select(*keys, g.alias("g"), "w", "lo", "hi", F.explode(sides).alias("s")).select(*keys, "g", "w", "lo", "hi", "s.*")
+    d = d.groupBy(*keys, "side", "value").agg(F.sum("w").alias("w"), F.sum(F.col("g") * F.col("w")).alias("gw"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    # the ideal order of candidates of equal gain doesn't matter: one interval for each gain. Scores need no order here
+    apart = F.when(F.col("side") == 0, F.pmod(F.xxhash64("value"), F.lit(256)))
+    upto = F.sum("w").over(Window.partitionBy(*keys, "side", apart).orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    d = d.withColumn("upto", upto)
+    ideal = F.col("side") == 1
+    lo, hi = F.when(ideal, F.col("upto") - F.col("w")).otherwise(F.col("lo")), F.when(ideal, F.col("upto")).otherwise(F.col("hi"))
+    d = d.select(*keys, "side", F.try_divide("gw", "w").alias("mean"), cap(lo).alias("lo"), cap(hi).alias("hi"))
+    part = F.col("mean") * _discount("lo", "hi")
+    out = d.withColumn("part", part).groupBy(*keys).agg(F.sum(F.when(~ideal, F.col("part"))).alias("dcg"), F.sum(F.when(ideal, F.col("part"))).alias("idcg"))
+    return out.select(*keys, F.when(F.col("idcg") > 0, 100 * F.col("dcg") / F.col("idcg")).otherwise(0.0).alias("ndcg"))
 
 
 def pass_at_k(n: Column, c: Column, k: int) -> Column:
