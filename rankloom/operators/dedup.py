@@ -51,15 +51,24 @@ def dedup_min_numeric(df: DataFrame, keys: Sequence[str], text: Column, pos: str
     return d.groupBy(*keys, "__text").agg(F.count(F.lit(1)).alias("dup_count"), F.min(pos).alias(pos), *aggs).drop("__text")
 
 
-def dedup_split_syntax(df: DataFrame, keys: Sequence[str], text: Column, valid: Column, mins: Sequence[str], passed: str = "passed") -> tuple[DataFrame, DataFrame]:
-    """One row per problem and stripped text with the smallest of ``mins`` and ``count``, split into (valid, invalid) by
-    syntax; invalid ones have not passed."""
+def merged_with_syntax(df: DataFrame, keys: Sequence[str], text: Column, valid: Column, mins: Sequence[str], passed: str = "passed") -> DataFrame:
+    """One row per problem and stripped text with the smallest of ``mins``, ``count`` and ``valid``. Each different text is parsed
+    once; write the result before both sides of ``split_valid`` are used."""
     out = df.withColumn("text", text).filter(F.col("text").isNotNull())
     out = out.groupBy(*keys, "text").agg(F.count(F.lit(1)).alias("count"), F.bool_or(passed).alias(passed), *[F.min(m).alias(m) for m in mins])
-    out = out.withColumn("valid", valid)
+    return out.withColumn("valid", valid)
+
+
+def split_valid(out: DataFrame, passed: str = "passed") -> tuple[DataFrame, DataFrame]:
+    """(valid, invalid) programs; invalid ones have not passed."""
     return out.filter("valid").drop("valid"), out.filter(~F.col("valid")).drop("valid").withColumn(passed, F.lit(False))
 
 
+def dedup_split_syntax(df: DataFrame, keys: Sequence[str], text: Column, valid: Column, mins: Sequence[str], passed: str = "passed") -> tuple[DataFrame, DataFrame]:
+    """Both in one: (valid, invalid) merged programs."""
+    return split_valid(merged_with_syntax(df, keys, text, valid, mins, passed), passed)
+
+
 def percent_unique(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """Over all problems: rows, unique texts, their ratio, and the mean number of unique texts per problem."""
     per = df.groupBy(*keys, text).agg(F.count(F.lit(1)).alias("c")).groupBy(*keys).agg(F.sum("c").alias("rows"), F.count(F.lit(1)).alias("unique"))

@@ -10,12 +10,23 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.operators.skew import bounded_join
+from rankloom.session import materialize
+
 
 def with_problem_text(rows: DataFrame, problems: DataFrame, key: str) -> DataFrame:
     """Rows with the columns of their problem; rows without one are left out."""
     return rows.join(problems, key)
 
 
+def with_hot_text(rows: DataFrame, problems: DataFrame, key: str, most: int | None = None) -> DataFrame:
+    """The same where few problems have most of the rows: their rows are joined where they lie (``skew.bounded_join``). ``problems``
+    has each key once; rows with a null key are left out."""
+    weight = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__rows"))
+    p = materialize(problems.join(weight, key).withColumnRenamed(key, "__key"), "weighed")
+    return bounded_join(rows.filter(F.col(key).isNotNull()), p, [key], ["__key"], "__rows", most=most).drop("__key", "__rows")
+
+
 def validated_join(rows: DataFrame, meta: DataFrame, key: str, same: Sequence[str]) -> DataFrame:
     """Rows with their metadata by ``key``; a column of ``same`` that both have must agree, else the query fails."""
     m = meta.select(key, *[F.col(c).alias(f"__m_{c}") for c in meta.columns if c != key])

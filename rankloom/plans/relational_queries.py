@@ -18,7 +18,7 @@ from rankloom.operators import trials as TR
 from rankloom.plans.config import DATASETS
 from rankloom.plans.fixtures import SCORED, TRIALS, scored, trials
 from rankloom.plans.ranking_queries import rounded
-from rankloom.session import spread, table
+from rankloom.session import materialize, spread, table
 
 STAGES = ["is_valid_syntax", "has_no_lint_errors", "e3s1t", "e3s3t", "e3s10t"]
 KEY = ["task_id", "sid"]
@@ -39,7 +39,8 @@ def dedup_min_numeric(spark, sf_dir):
 
 
 def _split_syntax(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    return D.dedup_split_syntax(spread(solutions(spark, sf_dir)), ["task_id"], strip_ws(F.col("solution")), valid_syntax(F.col("text")), ["logprob", "num_tokens", "completion_id"])
+    d = D.merged_with_syntax(spread(solutions(spark, sf_dir)), ["task_id"], strip_ws(F.col("solution")), valid_syntax(F.col("text")), ["logprob", "num_tokens", "completion_id"])
+    return D.split_valid(materialize(d, "parsed"))
 
 
 def dedup_split_syntax(spark, sf_dir):
@@ -151,6 +152,14 @@ def problem_text_join(spark, sf_dir):
     return d.select("solution_key", F.length("problem").alias("problem_chars"))
 
 
+def hot_text_join(spark, sf_dir):
+    """The same with the heaviest problems' rows joined where they lie; only those of more than a 20th of all rows here."""
+    p = table(spark, sf_dir, "problems").filter("task_id is not null")
+    p = p.groupBy("task_id").agg(F.min_by("description", "problem_key").alias("problem"))
+    d = J.with_hot_text(solutions(spark, sf_dir).select("solution_key", "task_id"), p, "task_id", most=20)
+    return d.select("solution_key", F.length("problem").alias("problem_chars"))
+
+
 def split_anti_join(spark, sf_dir):
     p = table(spark, sf_dir, "problems").filter("task_id is not null")
     return J.not_in(p.filter("split = 'train'"), p.filter("split in ('validation', 'test')"), "task_id").select("problem_key")
@@ -250,7 +259,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         dedup_max_logprob, dedup_min_numeric, dedup_split_syntax, syntax_split, percent_unique, dedup_total, filter_pivot, staged_filter_kept, staged_filter_pruned, filter_then_rank,
-        mixed_outcomes, complete_groups, trial_agg, trial_homogeneity, trial_collapse, stage_time, pps_by_trial, trial_totals, timing_lookup, config_grid, problem_text_join,
+        mixed_outcomes, complete_groups, trial_agg, trial_homogeneity, trial_collapse, stage_time, pps_by_trial, trial_totals, timing_lookup, config_grid, problem_text_join, hot_text_join,
         split_anti_join, pointwise_sample, pairwise_sample, train_val_split, sample_rows, sample_with_replacement, row_numbers, head_tail, topk_longest, nested_roundtrip,
         positions, kept_arrays, zip_outcomes, pair_scores, source_counts, pass_level_counts, pair_statistics, problems_passing, token_length_stats, uniform_total,
     )
@@ -322,3 +331,4 @@ SQL["filter_then_rank"] = (
     "coalesce(sum((n - i - 1.0) * (n - i - 2) * (n - i - 3) / 6 / (n::double * (n - 1) * (n - 2) * (n - 3) / 24)) filter (p and i < n - 4 and n >= 4), 0) b_of_4 from n group by 1) "
     "select count(*) problems, round(avg(rs), 6) rs, round(avg(mrr), 6) mrr, round(avg(top1), 6) top1, round(avg(b_of_4), 6) b_of_4 from m"
 )
+SQL["hot_text_join"] = SQL["problem_text_join"]
