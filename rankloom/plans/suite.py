@@ -58,13 +58,10 @@ def rendered(candidates: DataFrame, cfg: PreprocessorConfig, suite: EvalSuite |
 def prepared(candidates: DataFrame, suite: EvalSuite, program: str = "solution") -> DataFrame:
     """Candidates with their programs cleaned as their task's settings say, whatever their length."""
     out = candidates
-    for comments in (False, True):
-        names = [t.name for t in suite.tasks if t.clean_solutions and bool(t.remove_comments) == comments]
-        names += [t.name for t in suite.tasks if comments and t.remove_comments and not t.clean_solutions]
+    for (clean, comments), make in {(True, False): C.format_code, (False, True): C.strip_comments, (True, True): C.clean_code}.items():
+        names = [t.name for t in suite.tasks if (bool(t.clean_solutions), bool(t.remove_comments)) == (clean, comments)]
         if names:
-            code = F.col(program)
-            code = C.clean_code(code) if comments and any(t.clean_solutions for t in suite.tasks) else C.strip_comments(code) if comments else C.format_code(code)
-            out = out.withColumn(program, F.when(F.col("dataset").isin(names), code).otherwise(F.col(program)))
+            out = out.withColumn(program, F.when(F.col("dataset").isin(names), make(F.col(program))).otherwise(F.col(program)))
     return out
 
 

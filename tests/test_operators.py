@@ -25,7 +25,7 @@ from rankloom.operators import tokenize as K
 from rankloom.operators import trials as TR
 from rankloom.plans.config import SUITES, EvalSuite, PreprocessorConfig, RunConfig, ScoringConfig, TaskConfig
 from rankloom.plans import training as TN
-from rankloom.plans.suite import Model, evaluate, run_suite, suite_report
+from rankloom.plans.suite import Model, evaluate, prepared, run_suite, suite_report
 from rankloom.session import Steps, materialize
 from rankloom.sources import readers, writers
 from rankloom.streaming import trials as ST
@@ -212,6 +212,15 @@ def test_suites_of_the_settings():
     assert all(len(t.icl_examples) == 2 for t in SUITES["two_shot"].tasks) and SUITES["debug"].filter_stage is None
 
 
+def test_programs_are_cleaned_as_their_task_says(spark):
+    tasks = (TaskConfig("mbpp", remove_comments=True), TaskConfig("gsm8k", clean_solutions=True), TaskConfig("humaneval", clean_solutions=True, remove_comments=True), TaskConfig("code_contests"))
+    long = "x = 1  # " + "y" * 20_000
+    d = spark.createDataFrame([(t.name, long) for t in tasks], "dataset string, solution string")
+    got = {r.dataset: r.solution for r in prepared(d, EvalSuite("s", tasks=tasks)).collect()}
+    assert got["mbpp"] == "x = 1" and got["humaneval"] == "x = 1" and got["code_contests"] == long
+    assert got["gsm8k"].endswith("\n") and "#" in got["gsm8k"]
+
+
 def test_an_evaluation_from_candidates_to_files(spark, tmp_path):
     """Cleaned, rendered with the task's example, filtered before scoring, scored in batches, reported and written."""
     rows = [("humaneval/1", 0, "humaneval", "x = 1  # one", True, 1), ("humaneval/1", 1, "humaneval", "x=2", False, 2), ("humaneval/1", 2, "humaneval", "bad (", False, 1), ("mbpp/1", 0, "mbpp", "y  =  3", True, 1), ("gsm8k/1", 0, "gsm8k", "z", True, 1)]
