@@ -40,6 +40,12 @@ def _part(score: Column, sid: Column) -> tuple[Column, Column]:
     return -signed, F.when(score == NEG_INF, F.shiftright(F.coalesce(sid.cast("bigint"), F.lit(-1)), SID_BITS)).otherwise(0)
 
 
+def input_bytes(df: DataFrame) -> int:
+    """The estimated size of what a plan reads: joins aren't multiplied out, as their own estimates do."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def _split_hot(d: DataFrame, keys: list[str], sid: str, hot: int) -> DataFrame:
     """``d`` with the parts of more than ``hot`` rows split further: ``__p0`` is their exact score, ``__p2`` the high bits of the sid."""
     d = materialize(d, "ranked")
@@ -60,8 +66,8 @@ def rank_intervals(
 
     Order: score descending, equal scores by sid ascending. A problem isn't ordered in one task: its candidates are cut
     into parts by score; the parts' weights are summed first, and only each part is sorted. A null or non-positive
-    weight counts as 1; without ``count`` every candidate weighs 1. In a ``large`` table (by default one of an estimated size of
-    HOT_BYTES or more) parts of more than ``hot`` rows, such as many equal scores of one problem, are found first and split
+    weight counts as 1; without ``count`` every candidate weighs 1. In a ``large`` table (by default one made from HOT_BYTES or
+    more by estimate) parts of more than ``hot`` rows, such as many equal scores of one problem, are found first and split
     by score and sid.
     """
     keys = list(keys)
@@ -70,7 +76,7 @@ def rank_intervals(
     p1, p2 = _part(F.col("eff"), F.col(sid))
     d = d.withColumn("__p1", p1).withColumn("__p2", p2)
     if large is None:
-        large = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= HOT_BYTES
+        large = input_bytes(df) >= HOT_BYTES
     # in parts that aren't split __p0 is null; it is joined null-safely through a value that no score has
     d = _split_hot(d, keys, sid, hot) if large else d.withColumn("__p0", F.lit(None).cast("double"))
     d = d.withColumn("__p0", F.coalesce("__p0", F.lit(float("nan"))))
@@ -98,31 +104,29 @@ def survival(m: Column, n: Column, k: int) -> Column:
     return F.when(m >= k, F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.lit(1.0), lambda acc, j: acc * ((m - j) / (n - j)))).otherwise(F.lit(0.0))
 
 
-#: Factors that are multiplied before a division: 16 of any bigint are a double still. Largest k whose product is written out.
-BLOCK, WRITTEN_OUT = 16, 64
-
+#: Largest k whose products are written out, which compiles to plain arithmetic: 16 factors of any bigint are a double still.
+WRITTEN_OUT = 16
 
-def survival_between(lo: str, hi: str, n: str, k: int) -> str:
-    """SQL of ``survival(n - lo) - survival(n - hi)``, the product written out for small k, which compiles to plain arithmetic."""
-    if k > WRITTEN_OUT:
-        steps = lambda m: f"if({m} >= {k}, aggregate(sequence(0, {k - 1}), 1d, (a, j) -> a * (({m} - j) / ({n} - j))), 0d)"
-        return f"{steps(f'({n} - {lo})')} - {steps(f'({n} - {hi})')}"
-    blocks = [range(i, min(i + BLOCK, k)) for i in range(0, k, BLOCK)]
-    product = lambda m, js: "(" + " * ".join(f"(cast({m} as double) - {j}d)" for j in js) + ")"
-    chance = lambda m: f"if({m} >= {k}, {' * '.join(f'({product(m, js)} / {product(n, js)})' for js in blocks)}, 0d)"
-    return f"{chance(f'({n} - {lo})')} - {chance(f'({n} - {hi})')}"
 
-
-def best_of_k(passed: str, lo: str, hi: str, n: str, k: int, faithful: bool = True) -> Column:
-    """Sum over candidates: the chance that the best-ranked of k drawn candidates passes; 0 where k > n. Takes SQL expressions.
+def best_of_k(lo: str, hi: str, n: str, k: int, faithful: bool = True) -> Column:
+    """The chance that the best-ranked of k drawn candidates is one of those at the ranks from ``lo`` to ``hi`` (SQL expressions);
+    its sum over passing candidates is best-of-k. 0 where k > n.
 
     ``faithful`` leaves out the last possible rank, n - k, as the published figures do; otherwise it is counted.
     """
     last = f"({n} - {k})" if faithful else n
-    return F.sum(F.expr(f"if({passed} and {n} >= {k} and {lo} < {last}, {survival_between(lo, f'least({hi}, {last})', n, k)}, 0d)"))
+    above, below = f"({n} - {lo})", f"({n} - least({hi}, {last}))"
+    if k <= WRITTEN_OUT:
+        product = lambda m: "(" + " * ".join(f"(cast({m} as double) - {j}d)" for j in range(k)) + ")"
+        ways = lambda m: f"if({m} >= {k}, {product(m)}, 0d)"
+        part = f"({ways(above)} - {ways(below)}) / {product(n)}"
+    else:
+        chance = lambda m: f"if({m} >= {k}, aggregate(sequence(0, {k - 1}), 1d, (a, j) -> a * (({m} - j) / ({n} - j))), 0d)"
+        part = f"{chance(above)} - {chance(below)}"
+    return F.expr(f"if({n} >= {k} and {lo} < {last}, {part}, 0d)")
 
 
-def _sums(flag: str, ks: Sequence[int], strict: bool, at: str) -> dict[str, tuple]:
+def _sums(flag: str, ks: Sequence[int], at: str) -> dict[str, tuple]:
     """What the metrics of one kind of outcome are made from: by name the sum over candidates, and how sums combine."""
     lo, hi, p, r = F.col("lo"), F.col("hi"), F.coalesce(F.col(flag), F.lit(False)), F.col(f"n_{flag}")
     inside = F.when(p, F.greatest(F.least(hi, r) - lo, F.lit(0))).otherwise(0)
@@ -132,7 +136,7 @@ def _sums(flag: str, ks: Sequence[int], strict: bool, at: str) -> dict[str, tupl
         f"{at}__first": (F.min(F.when(p, lo)), F.min),
         f"{at}top1": (F.bool_or(p & (lo == 0)), F.bool_or),
     }
-    return out | {f"{at}b_of_{k}": (best_of_k(f"coalesce(`{flag}`, false)", "lo", "hi", "n_all", k, strict), F.sum) for k in ks}
+    return out | {f"{at}b_of_{k}": (F.sum(F.when(p, F.col(f"__best_{k}")).otherwise(0.0)), F.sum) for k in ks}
 
 
 def _finished(d: DataFrame, strict: bool, at: str) -> DataFrame:
@@ -151,9 +155,11 @@ def category_metrics(ranked: DataFrame, keys: Sequence[str], categories: dict[st
     that have that flag.
     """
     keys = list(keys)
+    # what a candidate adds to best-of-k doesn't depend on the category
+    ranked = ranked.withColumns({f"__best_{k}": best_of_k("lo", "hi", "n_all", k, strict) for k in sorted({k for _, ks in categories.values() for k in ks})})
     sums = {"n": (F.first("n_all"), F.first), "unique_preds": (F.count(F.lit(1)), F.sum)}
     for at, (flag, ks) in categories.items():
-        sums |= _sums(flag, ks, strict, at)
+        sums |= _sums(flag, ks, at)
     if pruned:
         sums["pruned"] = (F.count_if(F.col(pruned)), F.sum)
     if ties:  # sums by score first; the second step sees scores, not candidates
